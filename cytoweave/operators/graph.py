@@ -56,49 +56,71 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
     )
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 12, seed: int = 0) -> DataFrame:
-    """``(cell_id, community)`` by label propagation with modularity gain.
+def communities(
+    nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 3, seed: int = 0
+) -> DataFrame:
+    """``(cell_id, community)``: local moves by modularity gain, then the same on the graph of communities.
+
+    ``edges(src, dst, w)`` holds both directions.  Every level folds the edges of
+    one community into one weighted edge, so later levels are small.
+    """
+    edges = cut_lineage(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
+    m2 = edges.agg(F.sum("w")).first()[0]
+    members = nodes.select("cell_id", F.col("cell_id").alias("community"))
+    if not m2:
+        return members
+    for level in range(levels):
+        units = members.select(F.col("community").alias("cell_id")).distinct()
+        moved = _local_moves(units, edges, m2, resolution, rounds, seed + level)
+        step = moved.select(F.col("cell_id").alias("_c"), F.col("community").alias("_to"))
+        members = cut_lineage(
+            members.join(step, F.col("community") == F.col("_c")).select("cell_id", F.col("_to").alias("community"))
+        )
+        if moved.where("community <> cell_id").isEmpty():
+            break
+        a = step.select(F.col("_c").alias("src"), F.col("_to").alias("_s"))
+        b = step.select(F.col("_c").alias("dst"), F.col("_to").alias("_d"))
+        edges = cut_lineage(
+            edges.join(a, "src").join(b, "dst").groupBy(F.col("_s").alias("src"), F.col("_d").alias("dst")).agg(F.sum("w").alias("w"))
+        )
+    return members
+
+
+def _local_moves(nodes: DataFrame, edges: DataFrame, m2: float, resolution: float, rounds: int, seed: int) -> DataFrame:
+    """Label propagation with modularity gain.
 
     Each round a keyed half of the nodes looks at the communities of its
     neighbours and moves to the one with the largest gain
     ``w(i, c) - resolution * k_i * K_c / 2m`` (own weight taken out of its own
     community).  Moving halves keeps neighbours from swapping for ever.
     """
-    edges = cut_lineage(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     degree = cut_lineage(edges.groupBy("src").agg(F.sum("w").alias("k")))
-    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
+    links = edges.where("src <> dst")
     state = nodes.select("cell_id", F.col("cell_id").alias("community"))
     quiet = 0
     for r in range(rounds):
         held = state.join(degree.withColumnRenamed("src", "cell_id"), "cell_id")
         mass = held.groupBy("community").agg(F.sum("k").alias("_K"))
-        near = (
-            edges.join(state.select(F.col("cell_id").alias("dst"), "community"), "dst")
-            .groupBy("src", "community")
-            .agg(F.sum("w").alias("_w"))
-        )
+        near = links.join(state.select(F.col("cell_id").alias("dst"), "community"), "dst").select("src", "community", F.col("w").alias("_w"))
         own = held.select(F.col("cell_id").alias("src"), F.col("community").alias("_mine"), F.col("k"))
         stay = own.select("src", F.col("_mine").alias("community"), F.lit(0.0).alias("_w"))
         options = near.unionAll(stay).groupBy("src", "community").agg(F.sum("_w").alias("_w"))
+        rest = F.col("_K") - F.when(F.col("community") == F.col("_mine"), F.col("k")).otherwise(0.0)
         scored = options.join(mass, "community").join(own, "src").withColumn(
-            "_gain",
-            F.col("_w")
-            - F.lit(resolution)
-            * F.col("k")
-            * (F.col("_K") - F.when(F.col("community") == F.col("_mine"), F.col("k")).otherwise(0.0))
-            / F.lit(m2),
+            "_gain", F.col("_w") - F.lit(resolution) * F.col("k") * rest / F.lit(m2)
         )
         # rounding keeps the choice independent of summation order; the lowest id wins a tie
         best = scored.groupBy("src").agg(
             F.min_by("community", F.struct(F.negative(F.round("_gain", 9)), F.col("community"))).alias("_to")
         )
         mover = uniform(seed, "move", r, F.col("cell_id")) < 0.5
-        moved = state.join(best.withColumnRenamed("src", "cell_id"), "cell_id", "left").select(
-            "cell_id",
-            F.col("community").alias("_old"),
-            F.when(mover & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("community")).alias("community"),
+        moved = cut_lineage(
+            state.join(best.withColumnRenamed("src", "cell_id"), "cell_id", "left").select(
+                "cell_id",
+                F.col("community").alias("_old"),
+                F.when(mover & F.col("_to").isNotNull(), F.col("_to")).otherwise(F.col("community")).alias("community"),
+            )
         )
-        moved = cut_lineage(moved)
         state = moved.select("cell_id", "community")
         quiet = quiet + 1 if moved.where("community <> _old").isEmpty() else 0
         if quiet == 2:

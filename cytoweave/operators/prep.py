@@ -318,16 +318,15 @@ def preprocess(
     missing = F.col("x").isNull() | F.isnan("x")
     clean = counts.withColumn("x", F.when(missing, 0.0).otherwise(F.col("x")))
     if order == "standard":
-        before = clean
         clean = filter_genes(filter_cells(clean, min_genes), min_cells)
         cells = cells.join(clean.select("cell_id").distinct(), "cell_id", "left_semi")
         genes = genes.join(clean.select("gene_id").distinct(), "gene_id", "left_semi")
     facts = clean.agg(
         F.sum("x").alias("total"), F.max("x").alias("top"), F.sum((F.col("x") <= 0).cast("bigint")).alias("low"), F.count("*").alias("stored")
     ).first()
-    holes = counts.where(missing).isEmpty()
+    complete = counts.where(missing).isEmpty()
     n, g = cells.count(), genes.count()
-    log.append("missing: none" if holes else "missing: filled with 0")
+    log.append("missing: none" if complete else "missing: filled with 0")
     if order == "standard":
         log.append("filter: first")
     mean_total, top = (facts["total"] or 0.0) / max(n, 1), facts["top"] or 0.0

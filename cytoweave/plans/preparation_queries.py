@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector  # noqa: F401
 from pyspark.sql import functions as F
 
 from ..operators import differential, prep
@@ -285,10 +284,10 @@ def _welch(spark, sf):
     return differential.welch_markers(_logged(spark, sf), t.count_cells(spark, sf), t.genes(spark, sf))
 
 
-@query("welch_markers", "K28", f"{WC}, {WELCH} SELECT cell_type, gene_id, {z6('score')} AS score, round(df, 4) AS df, {z6('log_fold')} AS log_fold FROM wt")
+@query("welch_markers", "K28", f"{WC}, {WELCH} SELECT cell_type, gene_id, {z6('score')} AS score, {z6('log_fold')} AS log_fold FROM wt")
 def welch_markers(spark, sf):
-    out = rounded(_welch(spark, sf).select("cell_type", "gene_id", "score", "df", "log_fold"))
-    return out.withColumn("df", F.round("df", 4))
+    out = rounded(_welch(spark, sf).select("cell_type", "gene_id", "score", "log_fold"))
+    return out
 
 
 @query("welch_p", "K28")
@@ -297,13 +296,19 @@ def welch_p(spark, sf):
 
 
 @query(
-    "significant_genes",
+    "strong_genes",
     "K29",
     f"""{WC}, {WELCH} SELECT cell_type, string_agg(gene_id, ',' ORDER BY score DESC, gene_id) AS genes FROM wt
         WHERE abs(score) > 2.5 AND abs(log_fold) > 0.5 GROUP BY 1""",
 )
-def significant_genes(spark, sf):
-    """The p limit is stated on |t| here so that SQL, which lacks the t tail, can check it."""
+def strong_genes(spark, sf):
+    """The limit is on |t| here: SQL has no t tail to check a p limit with."""
     strong = _welch(spark, sf).withColumn("p", F.when(F.abs("score") > 2.5, 0.0).otherwise(1.0))
     out = differential.significant_genes(strong)
     return out.select("cell_type", F.array_join(F.col("genes").cast("array<string>"), ",").alias("genes"))
+
+
+@query("significant_genes", "K29")
+def significant_genes(spark, sf):
+    out = differential.significant_genes(_welch(spark, sf), p=0.01, fold=0.5)
+    return out.select("cell_type", F.array_join(F.col("genes").cast("array<string>"), ",").alias("genes"))

@@ -66,6 +66,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative plans restart from files, not from executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write to the shared folder and read back.
+
+    Iterative plans restart from files, not from executors, and the optimiser sees
+    real sizes again (estimates multiply with every join of a long chain).
+    """
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
