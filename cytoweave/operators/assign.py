@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import vec as V
 from ..functions.bounds import MAX_ELEMENTS, bounded_matrix
 from ..functions.rand import uniform
+from ..session import cut_lineage
 from .proto import nearest_prototype, score_arrays
 from .tiles import pack, pair_within, tile_map, unpack
 
@@ -45,21 +46,22 @@ def sinkhorn(
     E = exp((s - max) / epsilon) the matrix stays E * r_k * c_cell, so a round is one
     pass: per-cell c from the current r, then K partial sums of E * c.  The last
     step scales cells, so every cell's row sums to 1.  Rounds chain as scalar
-    subqueries (or as a join of one row per group); nothing is collected.
+    subqueries (or as a join of one row per group); nothing is collected.  Every
+    third round the prototype factors (K numbers per group) are written out, which
+    keeps long runs from nesting.
     """
     by = list(by)
     top = scores.agg(F.max(F.array_max("s"))).scalar()
     base = scores.withColumn("_top", top).withColumn("_e", F.transform("s", lambda x: F.exp((x - F.col("_top")) / epsilon)))
     base = base.drop("_top")
     state = base.withColumn("_c", F.lit(1.0))
-    for _ in range(iterations):
+    for i in range(iterations):
         summed = vector_to_array(Summarizer.sum(array_to_vector(F.col("_e")), F.col("_c")))
         factor = F.transform(summed, lambda w: F.lit(1.0) / (w * F.size(summed)))
-        if by:
-            rows = state.groupBy(*by).agg(factor.alias("_r"))
-            state = base.join(rows, by)
-        else:
-            state = base.withColumn("_r", state.agg(factor.alias("_r")).scalar())
+        rows = state.groupBy(*by).agg(factor.alias("_r"))
+        if i % 3 == 2 and i + 1 < iterations:
+            rows = cut_lineage(rows)
+        state = base.join(rows, by) if by else base.withColumn("_r", rows.select("_r").scalar())
         state = state.withColumn("_c", F.lit(1.0) / _total(F.zip_with("_e", "_r", lambda e, r: e * r)))
     q = F.transform(F.zip_with("_e", "_r", lambda e, r: e * r), lambda v: v * F.col("_c"))
     return state.withColumn(out, q).select(*scores.columns, out)
