@@ -247,9 +247,9 @@ def point_density(points: DataFrame, exact_points: int | None = EXACT_POINTS) ->
     smooth = ku @ mesh @ kv * scale
 
     def density(a: pa.Array, b: pa.Array) -> pa.Array:
-        i = np.clip((np.asarray(a) - lo_u) / du - 0.5, 0, MESH - 1)
-        j = np.clip((np.asarray(b) - lo_v) / dv - 0.5, 0, MESH - 1)
-        i0, j0 = np.minimum(i.astype(int), MESH - 2), np.minimum(j.astype(int), MESH - 2)
+        i, j = (np.asarray(a) - lo_u) / du - 0.5, (np.asarray(b) - lo_v) / dv - 0.5
+        # the outer half cells are read from the edge cell's plane
+        i0, j0 = (np.clip(np.floor(x).astype(int), 0, MESH - 2) for x in (i, j))
         fi, fj = i - i0, j - j0
         top = smooth[i0, j0] * (1 - fj) + smooth[i0, j0 + 1] * fj
         low = smooth[i0 + 1, j0] * (1 - fj) + smooth[i0 + 1, j0 + 1] * fj

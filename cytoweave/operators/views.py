@@ -12,18 +12,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from ..functions.rand import uniform
 from ..functions.ranks import uniform_rank
+from ..session import cut_lineage
 
 
 def _numbered(cells: DataFrame, pool: str, part: str | None, seed: int) -> DataFrame:
     """Cells numbered 0.. inside ``pool``, each ``part`` being one contiguous run.
 
     Adds ``_n`` (pool size), ``_start`` and ``_len`` (the run of the cell's part).
+    Anchors and candidates both read it, so it is written once.
     """
     keys = [pool] + ([part] if part else [])
     sizes = cells.groupBy(*keys).agg(F.count("*").alias("_len"))
@@ -33,36 +35,42 @@ def _numbered(cells: DataFrame, pool: str, part: str | None, seed: int) -> DataF
     sizes = sizes.withColumn("_n", F.sum("_len").over(Window.partitionBy(pool)))
     drawn = cells.select("cell_id", *keys).withColumn("_u", uniform(seed, "pool", F.col("cell_id")))
     ranked = uniform_rank(drawn, "_u", "cell_id", keys, "_rn")
-    return ranked.join(sizes, keys).withColumn("_idx", F.col("_start") + F.col("_rn") - 1).drop("_u", "_rn")
+    return cut_lineage(ranked.join(sizes, keys).withColumn("_idx", F.col("_start") + F.col("_rn") - 1).drop("_u", "_rn"))
 
 
-def _distinct_draws(size: Column, wanted: Column, seed: int, op: str) -> Column:
-    """``wanted`` different numbers below ``size``, uniform over subsets, from keyed draws.
+def _with_draws(anchors: DataFrame, n_draws: int, seed: int, op: str) -> DataFrame:
+    """Add ``_draws``: ``_wanted`` different numbers below ``_size``, uniform over subsets.
 
     Draw i is uniform over the first size - wanted + i + 1 numbers; a repeat is
-    replaced by the newest number of that range.
+    replaced by the newest number of that range.  Draws are plain columns (compiled
+    code); unused ones are NULL.
     """
-
-    def step(taken: Column, i: Column) -> Column:
-        last = size - wanted + i
-        pick = F.floor(uniform(seed, op, F.col("anchor_id"), i) * (last + 1)).cast("bigint")
-        return F.concat(taken, F.array(F.when(F.array_contains(taken, pick), last).otherwise(pick).cast("bigint")))
-
-    empty = F.array().cast("array<bigint>")
-    drawn = F.aggregate(F.sequence(F.lit(0).cast("bigint"), wanted - 1), empty, step)
-    return F.when(wanted > 0, drawn).otherwise(empty)
+    df = anchors
+    for i in range(n_draws):
+        last = F.col("_size") - F.col("_wanted") + i
+        df = df.withColumn("_t", F.floor(uniform(seed, op, F.col("anchor_id"), i) * (last + 1)).cast("bigint"))
+        seen = F.lit(False)
+        for j in range(i):
+            seen = seen | (F.col("_t") == F.col(f"_p{j}"))
+        df = df.withColumn(f"_p{i}", F.when(F.lit(i) < F.col("_wanted"), F.when(seen, last).otherwise(F.col("_t"))))
+    picks = [F.struct(F.lit(i + 1).alias("view_no"), F.col(f"_p{i}").alias("p")) for i in range(n_draws)]
+    return df.withColumn("_draws", F.array(*picks)).drop("_t", *[f"_p{i}" for i in range(n_draws)])
 
 
 def _fetch(anchors: DataFrame, numbered: DataFrame, pool: str, n_views: int, seed: int, op: str) -> DataFrame:
     """Draw from the ring segment (``_base``, ``_size``) of each anchor's pool."""
-    size = F.col("_size")
-    wanted = F.least(F.lit(n_views - 1).cast("bigint"), size)
-    drawn = anchors.withColumn("_d", _distinct_draws(size, wanted, seed, op)).withColumn("complete", wanted == n_views - 1)
-    picks = drawn.select("anchor_id", pool, "complete", "_base", "_n", F.posexplode("_d").alias("_i", "_p")).select(
-        "anchor_id", pool, "complete", (F.col("_i") + 1).alias("view_no"), F.pmod(F.col("_base") + F.col("_p"), F.col("_n")).alias("_idx")
+    wanted = F.least(F.lit(n_views - 1).cast("bigint"), F.col("_size"))
+    sized = anchors.withColumn("_wanted", wanted).withColumn("complete", F.col("_wanted") == n_views - 1)
+    first = sized.select("anchor_id", F.lit(0).alias("view_no"), F.col("anchor_id").alias("cell_id"), "complete")
+    if n_views < 2:
+        return first
+    drawn = _with_draws(sized, n_views - 1, seed, op).select(
+        "anchor_id", pool, "complete", "_base", "_n", F.explode("_draws").alias("_d")
+    )
+    picks = drawn.where(F.col("_d.p").isNotNull()).select(
+        "anchor_id", pool, "complete", F.col("_d.view_no").alias("view_no"), F.pmod(F.col("_base") + F.col("_d.p"), F.col("_n")).alias("_idx")
     )
     found = picks.join(numbered.select(pool, "_idx", "cell_id"), [pool, "_idx"]).select("anchor_id", "view_no", "cell_id", "complete")
-    first = drawn.select("anchor_id", F.lit(0).alias("view_no"), F.col("anchor_id").alias("cell_id"), "complete")
     return first.unionAll(found)
 
 
