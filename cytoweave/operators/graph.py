@@ -19,9 +19,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     A round takes the minimum over neighbours (partial aggregate, so hubs are
     cheap) and then jumps to the label's own label, which halves long paths.
     """
-    links = cut_lineage(
-        edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    )
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    links = cut_lineage(edges.select(F.explode(ways).alias("_e")).select("_e.src", "_e.dst").distinct())
     state = nodes.select("cell_id", F.col("cell_id").alias("component"))
     for _ in range(max_rounds):
         seen = links.join(state, links.dst == state.cell_id).groupBy("src").agg(F.min("component").alias("_m"))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import vec as V
 from ..functions.ranks import running_sum, width_bucket
 from ..functions.special import chi2_p
+from ..session import cut_lineage
 from .graph import connected_components
 from .tiles import pack, pair_within, tile_map, unpack
 
@@ -113,9 +114,13 @@ def isolated_label_silhouette(cells: DataFrame, label: str = "cell_type", batch:
 
 
 def exact_median(df: DataFrame, column: str, tie: str = "cell_id") -> DataFrame:
-    """Exact median of a column of any length, by bucketed ranks."""
+    """Exact median of a column of any length, by bucketed ranks.
+
+    The values are read three times, so they are written once.
+    """
+    df = cut_lineage(df.where(F.col(column).isNotNull()).select(column, tie))
     span = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n"))).scalar()
-    base = df.where(F.col(column).isNotNull()).select(column, tie).withColumn("_s", span)
+    base = df.withColumn("_s", span)
     ranked = running_sum(base, [], width_bucket(column, F.col("_s.lo"), F.col("_s.hi")), [column, tie], F.lit(1), "_r")
     n = F.col("_s.n")
     mid = ranked.where((F.col("_r") == F.floor((n + 1) / 2)) | (F.col("_r") == F.ceil((n + 1) / 2)))
@@ -246,18 +251,18 @@ def integration_benchmark(
     """
     out = None
     for key, cells in keys.items():
-        knn = knn_of(cells)
+        knn = cut_lineage(knn_of(cells))
         agree = nmi_ari(cluster_of(cells), label, "cluster")
-        mixing = mixing_scores(knn, cells, label, batch)
+        mixing = mixing_scores(knn, cells, label, batch).select(F.struct("ilisi", "clisi")).scalar()
         row = agree.select(
             F.lit(key).alias("model"),
             "nmi",
             "ari",
             label_silhouette(cells, label).scalar().alias("label_silhouette"),
             isolated_label_silhouette(cells, label, batch).scalar().alias("isolated_silhouette"),
-            mixing.select("clisi").scalar().alias("clisi"),
+            mixing["clisi"].alias("clisi"),
             batch_silhouette(cells, label, batch).scalar().alias("batch_silhouette"),
-            mixing.select("ilisi").scalar().alias("ilisi"),
+            mixing["ilisi"].alias("ilisi"),
             batch_acceptance(knn, cells, label, batch).agg(F.avg("acceptance")).scalar().alias("kbet"),
             graph_connectivity(knn, cells, label).agg(F.avg("connectivity")).scalar().alias("graph_connectivity"),
             (batch_variance_drop(before, cells, batch).scalar() if before is not None else F.lit(None).cast("double")).alias("pcr_comparison"),

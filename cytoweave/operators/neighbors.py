@@ -148,19 +148,26 @@ def knn_join(
     nprobe: int | None = None,
     pivots: int | None = None,
     rows_per_tile: int = ROWS_PER_TILE,
+    fold_copies: bool | None = None,
 ) -> DataFrame:
     """k nearest ``base`` rows of every ``queries`` row: ``(src, dst, rank, dist)``.
 
     ``metric``: ``l2sq``, ``l2`` or ``cosine`` (1 - dot of unit vectors).  Ties go to
     the lower id.  ``exclude_self`` removes the row with the query's own id, which
-    stays right when vectors are duplicated.
+    stays right when vectors are duplicated.  Tables with many equal vectors are
+    folded first (see :func:`_knn_folded`); by default one counting pass decides.
     """
     cosine = metric == "cosine"
     same = queries is base
     prep = lambda df: df.select("cell_id", (V.unit_kernel()("vec") if cosine else V.to_double("vec")).alias("vec"))
     queries, base = prep(queries), prep(base)
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, math.ceil(base.count() / rows_per_tile))
+    if pivots is None or fold_copies is None:
+        facts = base.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("vec"), 0.02)).first()
+        pivots = pivots or min(MAX_PIVOTS, math.ceil(facts[0] / rows_per_tile))
+        fold_copies = facts[1] < 0.8 * facts[0] if fold_copies is None else fold_copies
+    if fold_copies:
+        args = dict(metric=metric, nprobe=nprobe, pivots=pivots, rows_per_tile=rows_per_tile)
+        return _knn_folded(queries, base, k, exclude_self, args)
     centre = _pivot_matrix(base, max(1, min(pivots, MAX_PIVOTS)))
     schema = "src bigint, dst bigint, dist double"
     if not len(centre):
@@ -181,6 +188,28 @@ def knn_join(
     return best.select("src", "dst", "rank", "dist")
 
 
+def _knn_folded(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool, args: dict) -> DataFrame:
+    """The same join when many vectors are equal, without pairing the copies.
+
+    Ties go to the lowest ids, so of a group of equal base vectors only the lowest
+    ``k`` (+ 1 for a removed self) can ever be answered; and equal queries share one
+    answer but for the removed self.  Both reductions are exact: limits per group are
+    applied before the shuffle, and one bounded list is joined back to all copies.
+    """
+    need = k + int(exclude_self)
+    keyed = lambda df: df.withColumn("_h", F.xxhash64("vec"))
+    kept = top_k(keyed(base), ["_h", "vec"], [F.asc("cell_id")], need, "_c").select("cell_id", "vec")
+    heads = keyed(queries).groupBy("_h", "vec").agg(F.min("cell_id").alias("cell_id"))
+    found = knn_join(heads.select("cell_id", "vec"), kept, need, fold_copies=False, **args)
+    lists = found.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst", "dist"))).alias("_n"))
+    answers = heads.join(lists, F.col("cell_id") == F.col("src")).select("_h", "vec", "_n")
+    every = keyed(queries).join(answers, ["_h", "vec"])
+    near = F.filter("_n", lambda e: e["dst"] != F.col("cell_id")) if exclude_self else F.col("_n")
+    return every.select(F.col("cell_id").alias("src"), F.posexplode(F.slice(near, 1, k)).alias("_i", "_e")).select(
+        "src", F.col("_e.dst").alias("dst"), (F.col("_i") + 1).alias("rank"), F.col("_e.dist").alias("dist")
+    )
+
+
 def knn_graph(df: DataFrame, k: int, metric: str = "l2sq", **kw) -> DataFrame:
     """Each row's k nearest other rows."""
     return knn_join(df, df, k, metric, exclude_self=True, **kw)
@@ -198,9 +227,9 @@ def undirected_edges(knn: DataFrame) -> DataFrame:
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(
-        edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
-    )
+    """Every undirected edge in both directions, from one evaluation of ``edges``."""
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return edges.select(F.explode(ways).alias("_e")).select("_e.src", "_e.dst")
 
 
 def restrict_graph(knn: DataFrame, nodes: DataFrame, filter_src: bool = False) -> DataFrame:

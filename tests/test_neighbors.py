@@ -70,6 +70,18 @@ def test_hot_group_is_split(vectors):
     assert got == brute(m, 3)
 
 
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_folding_copies_changes_nothing(vectors, metric):
+    rng = np.random.default_rng(8)
+    m = np.concatenate([np.tile([1.0, 2.0, 0.5], (40, 1)), np.tile([0.0, 0.0, 0.0], (5, 1)), rng.integers(0, 3, (40, 3)).astype(float)])
+    df = vectors(m)
+    a = found(neighbors.knn_graph(df, 4, metric, fold_copies=True, pivots=3, rows_per_tile=16))
+    b = found(neighbors.knn_graph(df, 4, metric, fold_copies=False, pivots=3, rows_per_tile=16))
+    assert a == b and len(a) == len(m)
+    cross = neighbors.knn_join(df, df, 3, metric, fold_copies=True)
+    assert found(cross) == found(neighbors.knn_join(df, df, 3, metric, fold_copies=False))
+
+
 def test_approximate_recall(vectors):
     m = np.random.default_rng(3).normal(0, 1, (400, 4))
     df = vectors(m)
