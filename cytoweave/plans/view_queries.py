@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import neighbors, prep, proto, rank, views
+from ..functions import vec as V
+from ..operators import prep, proto, rank, views
 from . import tables as t
 from .graph_queries import knn
 from .prototype_queries import WITH_ASSIGNED
@@ -134,15 +135,13 @@ def mixed_views(spark, sf):
 def noise_views(spark, sf):
     """User x event-type counts with negative-binomial noise."""
     ec = t.event_counts(spark, sf)
-    genes = sorted(r[0] for r in ec.select("gene").distinct().limit(1000).collect())
+    # one more than may be dense: dense_vectors refuses a longer list
+    genes = sorted(r[0] for r in ec.select("gene").distinct().limit(prep.MAX_DENSE_GENES + 1).collect())
     dense = prep.dense_vectors(ec, "gene", genes)
     mean = dense.agg(V.mean_vector("vec").alias("m")).first()[0]
     return views.noise_views(dense, mean, [1.0] * len(genes), 2)
 
 
-from ..functions import vec as V  # noqa: E402
-
-
 @query(
     "mask_views",
     "I7",

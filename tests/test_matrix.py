@@ -115,3 +115,12 @@ def test_welch_equals_formula(small):
     for j in range(4):
         se = np.sqrt(a[:, j].var(ddof=1) / 3 + b[:, j].var(ddof=1) / 2)
         assert abs(got[("a", j)] - ((a[:, j].mean() - b[:, j].mean()) / se if se else 0)) < 1e-9
+
+
+def test_known_markers_keep_genes_that_exist(spark, small):
+    from cytoweave.functions.markers import known_markers, marker_table
+
+    _, _, _, genes = small
+    got = known_markers(spark, genes, {"t": ["g1", "absent"], "u": ["g1", "g3"]}).collect()
+    assert sorted((r["cell_type"], r["gene_id"]) for r in got) == [("t", 1), ("u", 1), ("u", 3)]
+    assert marker_table(spark).count() == 64
