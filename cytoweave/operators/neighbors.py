@@ -18,16 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vec as V
+from ..functions.bounds import MAX_ELEMENTS
 from ..functions.rand import uniform
 from .rank import top_k
 from .tiles import ROWS_PER_TILE, tile_map, unpack
 
-MAX_PIVOTS = 512
+MAX_PIVOTS = 8192
+BLOCK = 1 << 20  # row-pivot distances held at once inside a task
 ZERO = -1  # group of zero vectors under the cosine metric
 
 
 def _pivot_matrix(base: DataFrame, m: int) -> np.ndarray:
-    """``m`` base rows drawn by key; m <= MAX_PIVOTS, so this is a bounded read."""
+    """``m`` base rows drawn by key: a bounded read (MAX_PIVOTS rows, MAX_ELEMENTS numbers)."""
+    width = base.select(F.size("vec")).first()
+    if width is not None:
+        m = max(1, min(m, MAX_ELEMENTS // max(width[0], 1)))
     rows = base.select("vec").orderBy(uniform("pivot", F.col("cell_id")), "cell_id").limit(m).collect()
     return np.array([r[0] for r in rows], dtype=np.float64)
 
@@ -39,8 +44,10 @@ def _assign(df: DataFrame, pivots: np.ndarray, cosine: bool) -> DataFrame:
         x = V.matrix(col)
         if len(x) == 0:
             return pa.array([], type=pa.struct([("pivot", pa.int32()), ("d", pa.float64())]))
-        d2 = V.cross_l2sq(x, pivots)
-        p = d2.argmin(1).astype(np.int32)
+        step = max(1, BLOCK // len(pivots))
+        p = np.concatenate(
+            [V.cross_l2sq(x[i : i + step], pivots).argmin(1) for i in range(0, len(x), step)]
+        ).astype(np.int32)
         d = np.sqrt(((x - pivots[p]) ** 2).sum(1))
         if cosine:
             p[(x * x).sum(1) == 0] = ZERO
@@ -73,25 +80,38 @@ def _router(pivots, stats, need: int, nprobe: int | None, cosine: bool):
     centres = pivots[groups] if len(groups) else np.zeros((0, pivots.shape[1]))
     has_zero = ZERO in stats
 
-    def wanted(x: np.ndarray) -> np.ndarray:
-        if not len(groups):
-            return groups
-        if cosine and ((x * x).sum(1) == 0).any():
-            return groups
+    full = count >= need
+
+    def near_groups(x: np.ndarray) -> np.ndarray:
+        """Mask of the groups some row of the block needs."""
         d = np.sqrt(V.cross_l2sq(x, centres))
         if nprobe is not None:
-            part = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
-            return groups[np.unique(part)]
-        # every row of group j lies within d + far[j]; enough groups bound the k-th distance
+            mask = np.zeros(len(groups), dtype=bool)
+            mask[np.argsort(d, axis=1, kind="stable")[:, :nprobe]] = True
+            return mask
+        # all rows of group j lie within d + far[j]: one group with enough rows bounds the k-th distance
         upper = d + far
-        order = np.argsort(upper, axis=1)
-        have = np.cumsum(count[order], axis=1) >= need
-        first = np.where(have.any(1), have.argmax(1), len(groups) - 1)
-        bound = np.take_along_axis(np.take_along_axis(upper, order, 1), first[:, None], 1)
-        bound[~have.any(1)] = np.inf
+        if full.any():
+            bound = upper[:, full].min(1, keepdims=True)
+        else:
+            order = np.argsort(upper, axis=1)
+            have = np.cumsum(count[order], axis=1) >= need
+            ranked = np.take_along_axis(upper, order, 1)
+            bound = np.where(have.any(1), ranked[np.arange(len(x)), have.argmax(1)], np.inf)[:, None]
         lower = np.maximum(np.maximum(d - far, close - d), 0.0)
         slack = 1e-7 * (1.0 + d)
-        return groups[(lower - slack <= bound).any(0)]
+        return (lower - slack <= bound).any(0)
+
+    def wanted(x: np.ndarray) -> np.ndarray:
+        if not len(groups):
+            return groups
+        if cosine and ((x * x).sum(1) == 0).any():
+            return groups
+        step = max(1, BLOCK // len(groups))
+        mask = np.zeros(len(groups), dtype=bool)
+        for i in range(0, len(x), step):
+            mask |= near_groups(x[i : i + step])
+        return groups[mask]
 
     def route(col: pa.Array) -> pa.Array:
         out = []
