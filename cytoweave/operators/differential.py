@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import running_sum, width_bucket
 from ..functions.special import normal_p, t_p
+from ..session import cut_lineage
 
 
 def adjust_p(df: DataFrame, by: Sequence[str], p: str = "p", out: str = "p_adj") -> DataFrame:
@@ -25,7 +26,8 @@ def rank_sum(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: s
 
     Values are first counted per (gene, value, group); absent entries join as one
     block at zero, known by its size.  Ranks (average over ties) are running sums
-    over these distinct values, so even a gene stored in every cell is split.
+    over these distinct values, so even a gene stored in every cell is split.  The
+    counted values are written once; the cells are read in one pass.
     z has no tie correction; p is two-sided normal, adjusted over genes.
     """
     pick = cells.where(F.col(label).isin(a, b)).select("cell_id", (F.col(label) == a).alias("_a"))
@@ -35,6 +37,7 @@ def rank_sum(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: s
         .groupBy("gene_id", "x")
         .agg(F.sum(F.col("_a").cast("bigint")).alias("a"), F.sum((~F.col("_a")).cast("bigint")).alias("b"))
     )
+    stored = cut_lineage(stored)
     seen = stored.groupBy("gene_id").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     blocks = genes.select("gene_id").join(seen, "gene_id", "left").withColumn("_n", size).select(
         "gene_id", F.lit(0.0).alias("x"), (F.col("_n.na") - F.coalesce("sa", F.lit(0))).alias("a"), (F.col("_n.nb") - F.coalesce("sb", F.lit(0))).alias("b")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vec as V
+from ..session import cut_lineage
 from .rank import top_k
 
 # a dense grid carries one value per kept gene in every cell
@@ -88,9 +89,10 @@ def dispersion_scores(logged: DataFrame, cells: DataFrame, bins: int = 20) -> Da
     mean and variance of expm1(x) over all cells; dispersion = var / mean; both
     logged (mean as log1p); genes fall into ``bins`` equal-width bins of log mean;
     score = (dispersion - bin mean) / bin sample deviation.  A bin of one gene scores
-    1.  Bin statistics are windows over the gene table.
+    1.  The moments are one pass over the counts, written as a gene-sized table that
+    the range, the bins and the scores all read.
     """
-    m = gene_moments(logged, cells, F.expm1("x"))
+    m = cut_lineage(gene_moments(logged, cells, F.expm1("x")))
     mean = F.when(F.col("mean") == 0, 1e-12).otherwise(F.col("mean"))
     d = m.select("gene_id", F.log1p(mean).alias("mean"), F.when(F.col("var") > 0, F.log(F.col("var") / mean)).alias("disp"))
     span = d.agg(F.struct(F.min("mean").alias("lo"), F.max("mean").alias("hi"))).scalar()
@@ -122,9 +124,10 @@ def stabilised_variance(counts: DataFrame, cells: DataFrame) -> DataFrame:
     The expected log10 variance is a quadratic in log10 mean (ordinary least squares
     in closed form) instead of a local regression; counts are clipped at
     mean + sqrt(n) * expected deviation.  Zeros enter through their number only.
+    Two passes over the counts: moments (written, gene-sized), then clipped sums.
     """
     n = _n_cells(cells)
-    m = gene_moments(counts, cells)
+    m = cut_lineage(gene_moments(counts, cells))
     fit = m.where((F.col("var") > 0) & (F.col("mean") > 0)).select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
     centre = fit.agg(F.avg("x")).scalar()
     c = fit.withColumn("x", F.col("x") - centre)
@@ -318,7 +321,8 @@ def preprocess(
     missing = F.col("x").isNull() | F.isnan("x")
     clean = counts.withColumn("x", F.when(missing, 0.0).otherwise(F.col("x")))
     if order == "standard":
-        clean = filter_genes(filter_cells(clean, min_genes), min_cells)
+        # every later look reads the filtered matrix: write it once
+        clean = cut_lineage(filter_genes(filter_cells(clean, min_genes), min_cells))
         cells = cells.join(clean.select("cell_id").distinct(), "cell_id", "left_semi")
         genes = genes.join(clean.select("gene_id").distinct(), "gene_id", "left_semi")
     facts = clean.agg(
