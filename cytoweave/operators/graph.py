@@ -13,30 +13,43 @@ from ..functions.rand import uniform
 from ..session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``(cell_id, component)``: the smallest id reachable over undirected ``edges(src, dst)``.
+def components(links: DataFrame) -> DataFrame:
+    """``(node, component)`` of every node of ``links(a, b)``: the smallest node reachable.
 
-    A round takes the minimum over neighbours (partial aggregate, so hubs are
-    cheap) and then jumps to the label's own label, which halves long paths.
+    Contraction: every node points at its smallest neighbour (a partial aggregate, so hubs are
+    cheap), pointers are doubled, and edges move to what their ends point at; loops and repeats
+    go.  Every round at least halves the nodes of a component, so rounds are logarithmic in its
+    size.  The rounds are then read backwards to carry the final label to all nodes.  Joins are on
+    nodes that occur once on one side, so a hub is split like any skewed join.  Null ends are dropped.
     """
-    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    links = cut_lineage(edges.select(F.explode(ways).alias("_e")).select("_e.src", "_e.dst").distinct())
-    state = nodes.select("cell_id", F.col("cell_id").alias("component"))
-    for _ in range(max_rounds):
-        seen = links.join(state, links.dst == state.cell_id).groupBy("src").agg(F.min("component").alias("_m"))
-        lower = state.join(seen, state.cell_id == seen.src, "left").select(
-            "cell_id", F.col("component").alias("_old"), F.least("component", F.coalesce("_m", "component")).alias("_new")
-        )
-        lower = cut_lineage(lower)
-        boss = lower.select(F.col("cell_id").alias("_b"), F.col("_new").alias("_up"))
-        jumped = lower.join(boss, F.col("_new") == F.col("_b"), "left").select(
-            "cell_id", "_old", F.least("_new", F.coalesce("_up", "_new")).alias("component")
-        )
-        jumped = cut_lineage(jumped)
-        state = jumped.select("cell_id", "component")
-        if jumped.where("component <> _old").isEmpty():
-            return state
-    raise RuntimeError("components did not settle; raise max_rounds")
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.where("a is not null and b is not null").select(F.explode(ways).alias("_e")).select("_e.a", "_e.b")
+    edges = cut_lineage(both.where("a <> b").distinct())
+    loops = cut_lineage(links.where("a = b").select(F.col("a").alias("node")).distinct())
+    pointers: list[DataFrame] = []
+    while not edges.isEmpty():
+        up = cut_lineage(edges.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("to")))
+        further = up.select(F.col("node").alias("to"), F.col("to").alias("_far"))
+        up = cut_lineage(up.join(further, "to").select("node", F.col("_far").alias("to")))
+        pointers.append(up)
+        to_a = up.select(F.col("node").alias("a"), F.col("to").alias("_a"))
+        to_b = up.select(F.col("node").alias("b"), F.col("to").alias("_b"))
+        moved = edges.join(to_a, "a").select("_a", "b").distinct().join(to_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        edges = cut_lineage(moved.where("a <> b").distinct())
+    if not pointers:
+        return loops.select("node", F.col("node").alias("component"))
+    label = pointers[-1].select("node", F.col("to").alias("component"))
+    for up in reversed(pointers[:-1]):
+        known = label.select(F.col("node").alias("to"), "component")
+        label = cut_lineage(up.join(known, "to", "left").select("node", F.coalesce("component", "to").alias("component")))
+    return label.unionAll(loops.join(label, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(cell_id, component)``: the smallest id reachable over undirected ``edges(src, dst)``; a node without edges is its own."""
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = found.select(F.col("node").alias("cell_id"), "component")
+    return nodes.select("cell_id").join(named, "cell_id", "left").select("cell_id", F.coalesce("component", "cell_id").alias("component"))
 
 
 def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
