@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most ``limit`` bytes of text, or a single row."""
     column = batch.column(batch.schema.get_field_index(text_col))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from . import decontaminate, language, packing, token_files
+from . import decontaminate, language, license_scan, packing, simhash, token_files
 from .common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,28 @@ def op10_decontaminate(spark, sf_dir):
         F.sha2(F.array_join(hits["items"], ","), 256).alias("items_sha256"),
         decontaminate.contaminated(hits).alias("contaminated"),
     )
+
+
+@query("op6_simhash_groups")
+def op6_simhash_groups(spark, sf_dir):
+    found = simhash.groups(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark, sf_dir):
+    found = license_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    all_ = F.col("licenses")
+    first = all_["phrases"]["first_word"]
+    names = F.array_sort(F.array_distinct(F.concat(all_["phrases"]["label"], all_["notices"]["label"])))
+    best = F.array_max(F.concat(F.transform(all_["phrases"], lambda _: F.lit(1.0)), all_["notices"]["similarity"]))
+    return found.select(
+        "doc_id",
+        all_["n_words"].alias("n_words"),
+        F.size(first).cast("bigint").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        license_scan.labels(all_, "phrases").alias("base_labels"),
+        F.array_join(names, ",").alias("labels"),
+        F.coalesce(best, F.lit(0.0)).alias("score"),
+    )
