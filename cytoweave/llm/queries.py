@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
-from . import decontaminate, language, license_scan, packing, simhash, token_files
+from ..session import cut_lineage, scratch_path
+from . import decontaminate, language, license_scan, packing, quality, simhash, token_files
 from .common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,16 @@ def op9_license_scan(spark, sf_dir):
         F.array_join(names, ",").alias("labels"),
         F.coalesce(best, F.lit(0.0)).alias("score"),
     )
+
+
+@query("op4_quality_votes")
+def op4_quality_votes(spark, sf_dir):
+    found = quality.signals(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "signals", quality.votes("signals").alias("votes"))
+    # read once: later steps need these few numbers only
+    found = cut_lineage(found)
+    weights = quality.fit(found.select("votes"))
+    s = F.col("signals")
+    failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
+    good = weights.posterior(F.col("votes"))
+    base = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return found.select("doc_id", *base, failed.alias("base_failed"), (~failed & (good >= 0.5)).alias("kept"), good.alias("quality"))
