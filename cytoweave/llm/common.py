@@ -27,6 +27,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def rewritten(column: pa.Array, table: bytes) -> pa.Array:
+    """Large binary column with A-Z lowered and then every byte replaced by ``table``; null becomes empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    held = column.buffers()[2]
+    data = b"" if held is None else held.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().lower().translate(table)
+    return pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data)])
+
+
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most ``limit`` bytes of text, or a single row."""
     column = batch.column(batch.schema.get_field_index(text_col))

@@ -96,8 +96,8 @@ class Index:
             self.levels.append((bounds, mask, both & mask, child))
         self.sizes = [len(codes)] + [len(x[0]) for x in self.levels]
 
-    def links(self, distance: int, at_once: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Leaf pairs that connect everything within ``distance`` (not every such pair)."""
+    def links(self, distance: int, every: bool = False, at_once: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Leaf pairs that connect everything within ``distance``, or ``every`` such pair."""
         if not self.levels:
             return
         roots = np.arange(len(self.levels[-1][0]))
@@ -113,7 +113,7 @@ class Index:
             shared = mask[a] & mask[b]
             differ = np.bitwise_count((pattern[a] ^ pattern[b]) & shared)
             free = np.bitwise_count(~shared)
-            whole = differ + free <= distance
+            whole = (differ + free <= distance) & (not every)
             if whole.any():
                 yield from self._join(level, a[whole], b[whole])
             go = (differ <= distance) & ~whole
@@ -173,42 +173,58 @@ def _bucket_columns(code: str, blocks: int, distance: int):
     return F.explode(F.array(*out))
 
 
+def meet(rows: DataFrame, code: str, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
+    """``no, key, low, high`` and the columns of ``rows``: rows dealt out and sorted by units of search.
+
+    Any two rows whose codes differ in at most ``distance`` bits are together in some unit; a unit is
+    a pair of tiles (``low``, ``high``) of a bucket.  Rows alone in all their buckets are gone.
+    """
+    cut = rows.withColumn("_k", _bucket_columns(code, blocks, distance)).select("_k.no", "_k.key", *rows.columns)
+    sizes = cut.groupBy("no", "key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_tiles", F.ceil(F.col("_n") / tile).cast("int"))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.col("_tiles")).cast("int")
+    met = cut.join(sizes, ["no", "key"]).select("no", "key", *rows.columns, salt.alias("_s"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"))
+    units = met.select("no", "key", F.least("_s", "_t").alias("low"), F.greatest("_s", "_t").alias("high"), *rows.columns)
+    return units.repartition("no", "key", "low", "high").sortWithinPartitions("no", "key", "low", "high")
+
+
+def whole_units(batches: Iterator[pa.RecordBatch], at_once: int = ROWS_AT_ONCE) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Unit number and rows of complete units, many units at a time."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(i).to_numpy().astype(np.int64) for i in range(4)])
+        return np.concatenate([[0], np.cumsum((keys[:, :-1] != keys[:, 1:]).any(axis=0))])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= at_once:
+            table = pa.Table.from_batches(held)
+            unit = numbered(table)
+            cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+            if cut:
+                yield unit[:cut], table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            n = table.num_rows - cut
+    if n:
+        table = pa.Table.from_batches(held)
+        yield numbered(table), table
+
+
 def near_links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """``(a, b)``: links that connect all of ``distinct(fingerprint)`` within ``distance`` bits."""
-    rows = distinct.select(_bucket_columns("fingerprint", blocks, distance).alias("_k"), "fingerprint").select("_k.no", "_k.key", "fingerprint")
-    sizes = rows.groupBy("no", "key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_tiles", F.ceil(F.col("_n") / tile).cast("int"))
-    salt = F.pmod(F.xxhash64("fingerprint"), F.col("_tiles")).cast("int")
-    met = rows.join(sizes, ["no", "key"]).select("no", "key", "fingerprint", salt.alias("_s"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"))
-    units = met.select("no", "key", F.least("_s", "_t").alias("low"), F.greatest("_s", "_t").alias("high"), "fingerprint")
-    dealt = units.repartition("no", "key", "low", "high").sortWithinPartitions("no", "key", "low", "high")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-        for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
-            n += batch.num_rows
-            if n >= ROWS_AT_ONCE:
-                rows = np.concatenate(held, axis=1)
-                last = np.flatnonzero((rows[:4, :-1] != rows[:4, 1:]).any(axis=0))
-                cut = int(last[-1]) + 1 if len(last) else 0  # the last unit may go on in the next batch
-                yield from found(rows[:, :cut])
-                held, n = [rows[:, cut:]], rows.shape[1] - cut
-        if n:
-            yield from found(np.concatenate(held, axis=1))
-
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if rows.shape[1] < 2:
-            return
-        unit = np.concatenate([[0], np.cumsum((rows[:4, :-1] != rows[:4, 1:]).any(axis=0))])
-        codes = rows[4].view(np.uint64)
-        by = np.lexsort((gray_rank(codes), unit))
-        unit, codes = unit[by], codes[by]
-        label = spanning(len(codes), Index(unit, codes).links(distance))
-        linked = label != np.arange(len(label))
-        yield record_batch(LINKS, [codes[label[linked]].view(np.int64), codes[linked].view(np.int64)])
-
-    return dealt.mapInArrow(search, LINKS).distinct()
+        for unit, table in whole_units(batches):
+            codes = table.column("fingerprint").to_numpy().astype(np.int64).view(np.uint64)
+            by = np.lexsort((gray_rank(codes), unit))
+            codes = codes[by]
+            label = spanning(len(codes), Index(unit[by], codes).links(distance))
+            linked = label != np.arange(len(label))
+            yield record_batch(LINKS, [codes[label[linked]].view(np.int64), codes[linked].view(np.int64)])
+
+    return meet(distinct.select("fingerprint"), "fingerprint", distance, blocks, tile).mapInArrow(search, LINKS).distinct()
 
 
 def groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:

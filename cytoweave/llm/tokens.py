@@ -16,12 +16,13 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-from .common import expand
+from .common import as_bytes, expand, rewritten
 
 # fixed values: the pre-tokenizer pattern of word_bpe_49k.json
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 CACHE_PIECES = 1_000_000
 ENDS = (b".", b",")
+SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 LAST_PLAIN = "ɏ"
 DOTTED_CAPITAL_I = "İ"
 
@@ -88,18 +89,17 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (int32), text after text, and the number of ids of every text; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_piece:
-            lists = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            lists = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in as_bytes(texts)], add_special_tokens=False)]
             return np.array([i for ids in lists for i in ids], dtype=np.int32), np.array([len(ids) for ids in lists], dtype=np.int64)
         if len(self.index) > self.cache_pieces:
             self._clear()
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        split = pc.split_pattern(rewritten(texts, SPACES), b" ")
         pieces = split.flatten().dictionary_encode()
         get, find = self.index.get, self._find
         ends = {e: find(e) for e in ENDS}
         known = np.full((len(pieces.dictionary), 2), -1, dtype=np.int64)
-        for row, p in zip(known, pieces.dictionary.cast(pa.large_binary()).to_pylist()):
+        for row, p in zip(known, pieces.dictionary.to_pylist()):
             if p[-1:] in ends and p[:-1].isalpha():  # a full stop or comma is always a piece of its own
                 row[1] = ends[p[-1:]]
                 p = p[:-1]
