@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, scratch_path
-from . import decontaminate, language, license_scan, packing, quality, simhash, token_files
+from . import decontaminate, language, license_scan, lines, packing, quality, simhash, token_files
 from .common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,17 @@ def op4_quality_votes(spark, sf_dir):
     good = weights.posterior(F.col("votes"))
     base = [s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return found.select("doc_id", *base, failed.alias("base_failed"), (~failed & (good >= 0.5)).alias("kept"), good.alias("quality"))
+
+
+@query("op3_fuzzy_line_dedup")
+def op3_fuzzy_line_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.deduplicate(docs)
+    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.length("text"))
+    return found.select(
+        "doc_id",
+        F.size("dropped_lines").cast("bigint").alias("n_dropped"),
+        F.array_join("dropped_lines", ",").alias("dropped_lines"),
+        n_kept.cast("bigint").alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
