@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, scratch_path
-from . import decontaminate, language, license_scan, lines, packing, quality, simhash, token_files
+from . import decontaminate, language, license_scan, lines, packing, quality, simhash, substrings, token_files
 from .common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,16 @@ def op3_fuzzy_line_dedup(spark, sf_dir):
         n_kept.cast("bigint").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    found = substrings.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = F.col("deduplicated")
+    return found.select(
+        "doc_id",
+        r["n_bytes"].alias("n_bytes"),
+        (r["n_bytes"] - F.length(r["kept"])).cast("bigint").alias("n_removed"),
+        F.size(r["spans"]).cast("bigint").alias("n_spans"),
+        F.sha2(r["kept"], 256).alias("kept_sha256"),
+    )
