@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, scratch_path
-from . import decontaminate, language, license_scan, lines, packing, quality, simhash, substrings, token_files
+from . import decontaminate, html_text, language, license_scan, lines, packing, quality, simhash, substrings, token_files
 from .common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,9 @@ def op1_substring_dedup(spark, sf_dir):
         F.size(r["spans"]).cast("bigint").alias("n_spans"),
         F.sha2(r["kept"], 256).alias("kept_sha256"),
     )
+
+
+@query("op5_html_text")
+def op5_html_text(spark, sf_dir):
+    found = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
