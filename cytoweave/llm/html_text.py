@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import record_batch
+from .common import free_name, record_batch
 
 SALTS = 16
 REGION_SHARE = 0.8
@@ -394,14 +394,15 @@ def extract(pages: DataFrame, into: str = "text") -> DataFrame:
 
     Null and empty pages, and pages without text outside boilerplate, have the empty text.
     """
-    found = rules(pages).select(F.col("host").alias("_host"), F.struct("region", "template").alias("_rule"))
-    size = found.agg(F.sum(F.length("_host") + F.length("_rule.region") + F.length(F.array_join("_rule.template", " ")) + 64)).first()[0] or 0
-    joined = pages.withColumn("_page_host", host_of(F.col("url").cast("string")))
+    own, host, rule_ = (free_name(pages, c) for c in ("_page_host", "_host", "_rule"))
+    found = rules(pages).select(F.col("host").alias(host), F.struct("region", "template").alias(rule_))
+    size = found.agg(F.sum(F.length(host) + F.length(F.col(rule_)["region"]) + F.length(F.array_join(F.col(rule_)["template"], " ")) + 64)).first()[0] or 0
+    joined = pages.withColumn(own, host_of(F.col("url").cast("string")))
     other = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = joined.join(other, F.col("_page_host") == F.col("_host"), "left")
+    joined = joined.join(other, F.col(own) == F.col(host), "left")
 
     @F.arrow_udf("string")
     def text(page: pa.Array, rule: pa.Array) -> pa.Array:
         return pa.array([main_text(p or "", (r["region"], r["template"]) if r else None) for p, r in zip(page.to_pylist(), rule.to_pylist())], pa.string())
 
-    return joined.withColumn(into, text(F.col("html").cast("string"), F.col("_rule"))).select(*[pages[c] for c in pages.columns if c != into], F.col(into))
+    return joined.select(*[c for c in pages.columns if c != into], text(F.col("html").cast("string"), F.col(rule_)).alias(into))

@@ -92,7 +92,7 @@ def signals(docs: DataFrame, into: str = "signals") -> DataFrame:
         long(F.length(t) - without(rf"(?<={SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]+(?={SPACE})")).alias("n_alone"),
         long(F.size(F.array_distinct(w))).alias("n_distinct_words"),
     )
-    return placed.select(*docs.columns, found.alias(into))
+    return placed.select(*[c for c in docs.columns if c != into], found.alias(into))
 
 
 def votes(found: str, rules: tuple[Rule, ...] = RULES) -> Column:

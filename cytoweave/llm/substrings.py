@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from . import sieve
-from .common import as_bytes, mixed, record_batch, slices
+from .common import as_bytes, free_name, mixed, record_batch, slices
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -244,7 +244,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, sha
     Every byte covered by a repeated window of the input goes.  A null text is empty.  Rows with the
     same ``doc_id`` are taken for copies of one document.
     """
-    runs = repeated(docs, length, anchor, shard_bytes).select(F.col("doc_id").alias("_id"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
+    key, first, stop = (free_name(docs, c) for c in ("_id", "_starts", "_ends"))
+    runs = repeated(docs, length, anchor, shard_bytes).select(F.col("doc_id").alias(key), F.col("starts").alias(first), F.col("ends").alias(stop))
 
     @F.arrow_udf(RESULT)
     def remove(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
@@ -261,5 +262,5 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, sha
             out.append({"n_bytes": len(t), "kept": b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2])), "spans": spans})
         return pa.array(out, RESULT_ARROW)
 
-    joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(into, remove(F.col("text").cast("string"), F.col("_starts"), F.col("_ends"))).select(*[docs[c] for c in docs.columns], F.col(into))
+    joined = docs.join(runs, F.col("doc_id").eqNullSafe(F.col(key)), "left")
+    return joined.select(*[c for c in docs.columns if c != into], remove(F.col("text").cast("string"), F.col(first), F.col(stop)).alias(into))
