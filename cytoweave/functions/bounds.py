@@ -16,12 +16,13 @@ def bounded_matrix(
 ) -> tuple[np.ndarray, np.ndarray] | None:
     """``(ids, matrix)`` if the table is provably small, else ``None``.
 
-    At most ``max_rows + 1`` rows ever reach the driver; callers must have a
+    Rows and elements are counted before any row is sent; callers must have a
     distributed way for the ``None`` case.
     """
-    rows = df.select(F.col(id_col), F.col(vec_col).cast("array<double>")).limit(max_rows + 1).collect()
-    if len(rows) > max_rows or sum(len(r[1]) for r in rows) > MAX_ELEMENTS:
+    size = df.agg(F.count("*"), F.sum(F.size(vec_col).cast("bigint"))).first()
+    if size[0] > max_rows or (size[1] or 0) > MAX_ELEMENTS:
         return None
+    rows = df.select(F.col(id_col), F.col(vec_col).cast("array<double>")).collect()
     rows.sort(key=lambda r: r[0])
     ids = np.array([r[0] for r in rows])
     mat = np.array([r[1] for r in rows], dtype=np.float64)

@@ -16,6 +16,7 @@ from ..functions import vec as V
 from .neighbors import knn_join
 from .prep import pca
 from .relate import stack_tagged
+from .select import drop_singletons
 from .splits import split_random, split_stratified
 from .tiles import pack, pair_within, tile_map, unpack
 
@@ -37,13 +38,13 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, label: str = "ce
 
 
 def knn_evaluation(cells: DataFrame, k: int = 5, test_size: float = 0.2, seed: int = 42, label: str = "cell_type") -> DataFrame:
-    """Stratified split, kNN vote: predictions of the test part."""
-    split = split_stratified(cells, label, test_size, seed)
+    """Stratified split of the labels with two cells or more, kNN vote: predictions of the test part."""
+    split = split_stratified(drop_singletons(cells, label), label, test_size, seed)
     return knn_classify(split.where("split = 'train'"), split.where("split = 'test'"), k, label)
 
 
-def linear_classify(train: DataFrame, test: DataFrame, label: str = "cell_type", max_iter: int = 50, reg: float = 0.0) -> DataFrame:
-    """Multinomial logistic regression on the vectors."""
+def linear_classify(train: DataFrame, test: DataFrame, label: str = "cell_type", max_iter: int = 1000, reg: float = 0.0) -> DataFrame:
+    """Multinomial logistic regression on the vectors, until the fit settles (``max_iter`` at most)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
@@ -64,15 +65,20 @@ def linear_evaluation(cells: DataFrame, test_size: float = 0.2, seed: int = 42,
     return linear_classify(split.where("split = 'train'"), split.where("split = 'test'"), label, **kw)
 
 
+def reference_evaluation(ref: DataFrame, query: DataFrame, label: str = "cell_type", **kw) -> DataFrame:
+    """Linear classifier fitted on the reference cells: predictions of the query cells."""
+    return linear_classify(ref, query, label, **kw)
+
+
 def evaluate_keys(
-    keys: dict[str, DataFrame], subsets: dict[str, Sequence[str] | None], label: str = "cell_type", **kw
+    keys: dict[str, tuple[DataFrame, DataFrame]], subsets: dict[str, Sequence[str] | None], label: str = "cell_type", **kw
 ) -> DataFrame:
-    """Macro F1 of the linear classifier for every embedding key and label subset."""
+    """Macro F1 on the query cells, for every embedding key ``(ref, query)`` and label subset."""
     out = None
-    for key, cells in keys.items():
+    for key, parts in keys.items():
         for name, labels in subsets.items():
-            part = cells if labels is None else cells.where(F.col(label).isin(list(labels)))
-            scores = f1_summary(f1_per_class(linear_evaluation(part, label=label, **kw)))
+            ref, query = parts if labels is None else (p.where(F.col(label).isin(list(labels))) for p in parts)
+            scores = f1_summary(f1_per_class(reference_evaluation(ref, query, label, **kw)))
             row = scores.select(F.lit(key).alias("model"), F.lit(name).alias("subset"), F.col("f1_macro"))
             out = row if out is None else out.unionAll(row)
     return out
@@ -196,19 +202,10 @@ def joint_projection(cells: DataFrame, protos: DataFrame) -> DataFrame:
     return scores.select("type", "id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
 
 
-# above this many points the density is read from a fine mesh
-EXACT_POINTS = 50_000
-MESH = 1024
-
-
-def point_density(points: DataFrame, exact_points: int | None = EXACT_POINTS) -> DataFrame:
-    """Gaussian kernel density at every point ``(cell_id, x, y)``; adds ``density``.
+def _whitened(points: DataFrame) -> tuple[DataFrame, float]:
+    """``_u, _v``: coordinates in which the kernel is a standard normal product, and the kernel's scale.
 
-    Full 2 x 2 covariance, bandwidth n ** (-1/6); in whitened coordinates the kernel
-    is a product of two one-dimensional ones.  The exact way sums tile against tile.
-    Above ``exact_points`` (``None``: never) points are counted on a MESH x MESH grid,
-    whose size does not depend on n, the counts are smoothed once, and each point
-    reads its density by bilinear interpolation: two scans, no pairs.
+    Full 2 x 2 covariance, bandwidth n ** (-1/6).
     """
     m = points.agg(
         F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
@@ -217,43 +214,55 @@ def point_density(points: DataFrame, exact_points: int | None = EXACT_POINTS) ->
     n = m["n"]
     cov = np.array([[m["vx"], m["cxy"]], [m["cxy"], m["vy"]]]) * n ** (-1.0 / 3.0)
     inv = np.linalg.inv(np.linalg.cholesky(cov))
-    scale = 1.0 / (n * 2.0 * math.pi * math.sqrt(np.linalg.det(cov)))
     u = (F.col("x") - m["mx"]) * float(inv[0, 0])
     v = (F.col("x") - m["mx"]) * float(inv[1, 0]) + (F.col("y") - m["my"]) * float(inv[1, 1])
-    if exact_points is None or n <= exact_points:
-        tiles = pack(points.select("cell_id", F.array(u, v).alias("vec")), [])
-
-        def kernel(row: dict) -> pa.RecordBatch:
-            a, x = unpack(row["rows"])
-            _, y = unpack(row["other"])
-            d = np.exp(-0.5 * V.cross_l2sq(x, y)).sum(1) * scale
-            return pa.record_batch([pa.array(a), pa.array(d)], names=["cell_id", "d"])
-
-        pairs = pair_within(tiles, tiles, [], []).select("rows", "other")
-        sums = tile_map(pairs, kernel, "cell_id bigint, d double").groupBy("cell_id").agg(F.sum("d").alias("density"))
-        return points.join(sums, "cell_id")
-    white = points.withColumn("_u", u).withColumn("_v", v)
-    box = white.agg(F.min("_u"), F.max("_u"), F.min("_v"), F.max("_v")).first()
-    lo_u, hi_u, lo_v, hi_v = (float(b) for b in box)
-    du, dv = max((hi_u - lo_u) / MESH, 1e-12), max((hi_v - lo_v) / MESH, 1e-12)
-    cell = lambda c, lo, d: F.least(F.floor((F.col(c) - lo) / d), F.lit(MESH - 1)).cast("int")
-    mesh = np.zeros((MESH, MESH))
-    # at most MESH * MESH rows
-    for r in white.groupBy(cell("_u", lo_u, du).alias("i"), cell("_v", lo_v, dv).alias("j")).agg(F.count("*").alias("c")).collect():
-        mesh[r["i"], r["j"]] = r["c"]
-    nodes = np.arange(MESH)
-    ku = np.exp(-0.5 * ((nodes[:, None] - nodes[None, :]) * du) ** 2)
-    kv = np.exp(-0.5 * ((nodes[:, None] - nodes[None, :]) * dv) ** 2)
-    smooth = ku @ mesh @ kv * scale
-
-    def density(a: pa.Array, b: pa.Array) -> pa.Array:
-        i, j = (np.asarray(a) - lo_u) / du - 0.5, (np.asarray(b) - lo_v) / dv - 0.5
-        # the outer half cells are read from the edge cell's plane
-        i0, j0 = (np.clip(np.floor(x).astype(int), 0, MESH - 2) for x in (i, j))
-        fi, fj = i - i0, j - j0
-        top = smooth[i0, j0] * (1 - fj) + smooth[i0, j0 + 1] * fj
-        low = smooth[i0 + 1, j0] * (1 - fj) + smooth[i0 + 1, j0 + 1] * fj
-        return pa.array(top * (1 - fi) + low * fi)
-
-    udf = F.arrow_udf(density, T.DoubleType())
-    return white.withColumn("density", udf("_u", "_v")).drop("_u", "_v")
+    return points.withColumns({"_u": u, "_v": v}), 1.0 / (n * 2.0 * math.pi * math.sqrt(np.linalg.det(cov)))
+
+
+def point_density(points: DataFrame) -> DataFrame:
+    """Exact Gaussian kernel density at every point ``(cell_id, x, y)``; adds ``density``.
+
+    Sums tile against tile, which is quadratic in the points by definition;
+    :func:`mesh_density` is the linear form a caller may choose instead.
+    """
+    white, scale = _whitened(points)
+    tiles = pack(white.select("cell_id", F.array("_u", "_v").alias("vec")), [])
+
+    def kernel(row: dict) -> pa.RecordBatch:
+        a, x = unpack(row["rows"])
+        _, y = unpack(row["other"])
+        d = np.exp(-0.5 * V.cross_l2sq(x, y)).sum(1) * scale
+        return pa.record_batch([pa.array(a), pa.array(d)], names=["cell_id", "d"])
+
+    pairs = pair_within(tiles, tiles, [], []).select("rows", "other")
+    sums = tile_map(pairs, kernel, "cell_id bigint, d double").groupBy("cell_id").agg(F.sum("d").alias("density"))
+    return points.join(sums, "cell_id")
+
+
+# kernel values beyond so many bandwidths are below 1e-7 of the peak
+REACH = 5.7
+
+
+def mesh_density(points: DataFrame, step: float = 0.0625) -> DataFrame:
+    """Density read from a mesh whose step is a fraction of the bandwidth, so outliers do not coarsen it.
+
+    A point is shared out linearly among the four mesh nodes around it; the sums are smoothed along one
+    axis, then along the other, by exploding each node over its reach; a point reads its four nodes back
+    by the same weights.  Only nodes in use exist, as rows.  The error is of order ``step ** 2``.
+    """
+    white, scale = _whitened(points)
+    part = lambda c: F.col(c) / step - F.floor(F.col(c) / step)
+    node = lambda c, d: (F.floor(F.col(c) / step) + d).cast("bigint")
+    share = lambda c, d: part(c) if d else 1.0 - part(c)
+    corners = F.array(*[F.struct(node("_u", a).alias("i"), node("_v", b).alias("j"), (share("_u", a) * share("_v", b)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    shared = white.select("cell_id", F.explode(corners).alias("_n")).select("cell_id", "_n.i", "_n.j", "_n.w")
+    used = shared.groupBy("i", "j").agg(F.sum("w").alias("c"))
+    reach = int(math.ceil(REACH / step))
+    offsets = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    weight = F.exp(-0.5 * F.pow(F.col("o") * step, F.lit(2.0)))
+    along = used.select("*", offsets.alias("o")).groupBy((F.col("i") + F.col("o")).alias("i"), "j").agg(F.sum(F.col("c") * weight).alias("c"))
+    # only rows of the mesh that hold points are asked for
+    asked = along.join(used.select("i").distinct(), "i", "left_semi")
+    both = asked.select("*", offsets.alias("o")).groupBy("i", (F.col("j") + F.col("o")).alias("j")).agg((F.sum(F.col("c") * weight) * scale).alias("d"))
+    read = shared.join(both, ["i", "j"]).groupBy("cell_id").agg(F.sum(F.col("w") * F.col("d")).alias("density"))
+    return points.join(read, "cell_id")

@@ -69,12 +69,13 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
 
 
 def communities(
-    nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 3, seed: int = 0
+    nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds: int = 100, levels: int = 20, seed: int = 0
 ) -> DataFrame:
     """``(cell_id, community)``: local moves by modularity gain, then the same on the graph of communities.
 
     ``edges(src, dst, w)`` holds both directions.  Every level folds the edges of
-    one community into one weighted edge, so later levels are small.
+    one community into one weighted edge, so later levels are small.  It ends when a level
+    moves nothing; running out of ``rounds`` or ``levels`` is an error, not an answer.
     """
     edges = cut_lineage(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
     m2 = edges.agg(F.sum("w")).first()[0]
@@ -89,13 +90,13 @@ def communities(
             members.join(step, F.col("community") == F.col("_c")).select("cell_id", F.col("_to").alias("community"))
         )
         if moved.where("community <> cell_id").isEmpty():
-            break
+            return members
         a = step.select(F.col("_c").alias("src"), F.col("_to").alias("_s"))
         b = step.select(F.col("_c").alias("dst"), F.col("_to").alias("_d"))
         edges = cut_lineage(
             edges.join(a, "src").join(b, "dst").groupBy(F.col("_s").alias("src"), F.col("_d").alias("dst")).agg(F.sum("w").alias("w"))
         )
-    return members
+    raise RuntimeError("communities did not settle; raise levels")
 
 
 def _local_moves(nodes: DataFrame, edges: DataFrame, m2: float, resolution: float, rounds: int, seed: int) -> DataFrame:
@@ -135,6 +136,6 @@ def _local_moves(nodes: DataFrame, edges: DataFrame, m2: float, resolution: floa
         )
         state = moved.select("cell_id", "community")
         quiet = quiet + 1 if moved.where("community <> _old").isEmpty() else 0
-        if quiet == 2:
-            break
-    return state
+        if quiet == 3:  # each round asks a keyed half of the nodes
+            return state
+    raise RuntimeError("moves did not settle; raise rounds")

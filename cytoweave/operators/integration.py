@@ -167,11 +167,11 @@ def neighbour_diversity(knn: DataFrame, cells: DataFrame, label: str, perplexity
 
 
 def mixing_scores(knn: DataFrame, cells: DataFrame, label: str = "cell_type", batch: str = "batch") -> DataFrame:
-    """Batch mixing (ilisi) and label purity (clisi), scaled to [0, 1] from medians."""
+    """Batch mixing (ilisi) and label purity (clisi), scaled to [0, 1] from medians; 1 with one batch or one label."""
     nb = cells.agg(F.countDistinct(batch)).scalar()
     nl = cells.agg(F.countDistinct(label)).scalar()
-    mix = exact_median(neighbour_diversity(knn, cells, batch), "diversity").select(((F.col("median") - 1) / (nb - 1)).alias("ilisi"))
-    pure = exact_median(neighbour_diversity(knn, cells, label), "diversity").select(((nl - F.col("median")) / (nl - 1)).alias("clisi"))
+    mix = exact_median(neighbour_diversity(knn, cells, batch), "diversity").select(F.coalesce(F.try_divide(F.col("median") - 1, (nb - 1).cast("double")), F.lit(1.0)).alias("ilisi"))
+    pure = exact_median(neighbour_diversity(knn, cells, label), "diversity").select(F.coalesce(F.try_divide(nl - F.col("median"), (nl - 1).cast("double")), F.lit(1.0)).alias("clisi"))
     return mix.select("ilisi", pure.scalar().alias("clisi"))
 
 
@@ -180,6 +180,8 @@ def batch_acceptance(knn: DataFrame, cells: DataFrame, label: str = "cell_type",
 
     Output per label: share of cells whose test accepts mixing, and the mean statistic.
     Terms of absent batches are added from the totals: sum over present of o^2 / e, minus n.
+    A cell without a same-label neighbour, or whose label is in one batch, has statistic 0 and accepts:
+    nothing speaks against mixing.
     """
     a = cells.select(F.col("cell_id").alias("src"), F.col(label).alias("_l"))
     b = cells.select(F.col("cell_id").alias("dst"), F.col(label).alias("_l2"), F.col(batch).alias("_b"))
@@ -190,7 +192,9 @@ def batch_acceptance(knn: DataFrame, cells: DataFrame, label: str = "cell_type",
     part = seen.join(expected, ["_l", "_b"]).groupBy("src", "_l", "_k").agg(
         F.sum(F.col("_o") * F.col("_o") / F.col("_f")).alias("_q"), F.sum("_o").alias("_m")
     )
-    stat = part.where("_k > 1").select(F.col("_l").alias(label), (F.col("_q") / F.col("_m") - F.col("_m")).alias("chi2"), (F.col("_k") - 1).cast("double").alias("df"))
+    value = F.when(F.col("_k") > 1, F.col("_q") / F.col("_m") - F.col("_m"))
+    every = a.join(part.drop("_l"), "src", "left")
+    stat = every.select(F.col("_l").alias(label), F.coalesce(value, F.lit(0.0)).alias("chi2"), F.greatest(F.coalesce(F.col("_k"), F.lit(2)) - 1, F.lit(1)).cast("double").alias("df"))
     tested = stat.withColumn("p", chi2_p("chi2", "df"))
     return tested.groupBy(label).agg(
         F.avg((F.col("p") >= alpha).cast("double")).alias("acceptance"), F.avg("chi2").alias("mean_chi2"), F.count("*").alias("n_cells")
@@ -227,9 +231,9 @@ def batch_variance(cells: DataFrame, batch: str = "batch", vec: str = "vec") ->
 
 
 def batch_variance_drop(before: DataFrame, after: DataFrame, batch: str = "batch") -> DataFrame:
-    """Relative drop of the batch share from one embedding to another, at least 0."""
+    """Relative drop of the batch share from one embedding to another, at least 0 (0 where there was none)."""
     b = batch_variance(before, batch).scalar()
-    return batch_variance(after, batch).select(F.greatest((b - F.col("batch_r2")) / b, F.lit(0.0)).alias("pcr_comparison"))
+    return batch_variance(after, batch).select(F.greatest(F.coalesce(F.try_divide(b - F.col("batch_r2"), b), F.lit(0.0)), F.lit(0.0)).alias("pcr_comparison"))
 
 
 # --- totals ------------------------------------------------------------------------------------------------

@@ -21,8 +21,8 @@ from ..functions import vec as V
 from ..session import cut_lineage
 from .rank import top_k
 
-# a dense grid carries one value per kept gene in every cell
-MAX_DENSE_GENES = 20_000
+# genes of one block of a dense grid
+GENE_BLOCK = 4096
 
 
 def _n_cells(cells: DataFrame) -> Column:
@@ -163,28 +163,28 @@ def stabilised_variance(counts: DataFrame, cells: DataFrame) -> DataFrame:
 # --- dense steps -----------------------------------------------------------------------------------
 
 
-def dense_vectors(counts: DataFrame, gene: str, genes: Sequence) -> DataFrame:
-    """``(cell_id, vec)`` over an explicit, bounded gene list."""
-    if len(genes) > MAX_DENSE_GENES:
-        raise ValueError("select variable genes before making dense rows")
+def dense_vectors(counts: DataFrame, gene: str, genes: Sequence, cells: DataFrame) -> DataFrame:
+    """``(cell_id, vec)`` over an explicit gene list: one row for every cell of ``cells``, zeros included."""
     entries = F.map_from_entries(F.collect_list(F.struct(gene, "x")))
-    wanted = F.lit(list(genes))
-    return counts.where(F.col(gene).isin(list(genes))).groupBy("cell_id").agg(entries.alias("_m")).select(
-        "cell_id", F.transform(wanted, lambda g: F.coalesce(F.try_element_at(F.col("_m"), g), F.lit(0.0))).alias("vec")
-    )
+    own = counts.where(F.col(gene).isin(list(genes))).groupBy("cell_id").agg(entries.alias("_m"))
+    value = lambda g: F.coalesce(F.try_element_at(F.col("_m"), g), F.lit(0.0))
+    full = cells.select("cell_id").join(own, "cell_id", "left")
+    return full.select("cell_id", F.transform(F.lit(list(genes)), value).alias("vec"))
 
 
-def dense_rows(counts: DataFrame, cells: DataFrame, per_gene: DataFrame, gene: str, columns: Sequence[str]) -> DataFrame:
+def dense_rows(counts: DataFrame, cells: DataFrame, per_gene: DataFrame, gene: str, columns: Sequence[str], block: int = GENE_BLOCK) -> DataFrame:
     """One row per (cell, gene) of ``per_gene``, zeros included, with the gene's columns.
 
-    The gene table is packed into one array (its size is checked at run time) and
-    exploded beside each cell's own entries: no cross join.
+    Genes are dealt into blocks of about ``block``; a cell is exploded over the block numbers, joined
+    with each block's array and its own entries of that block, and exploded once more.  So no array
+    grows with the number of genes.
     """
-    packed = F.array_sort(F.collect_list(F.struct(gene, *columns)))
-    fits = F.assert_true(F.size(packed) <= MAX_DENSE_GENES, F.lit("select variable genes before making dense rows"))
-    listed = per_gene.agg(F.when(fits.isNull(), packed)).scalar()
-    own = counts.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct(gene, "x"))).alias("_m"))
-    grid = cells.join(own, "cell_id", "left").withColumn("_g", F.explode(listed))
+    n_blocks = int(per_gene.count() // block) + 1
+    number = F.pmod(F.xxhash64(gene), F.lit(n_blocks)).cast("int")
+    blocks = per_gene.groupBy(number.alias("_block")).agg(F.array_sort(F.collect_list(F.struct(gene, *columns))).alias("_list"))
+    own = counts.groupBy("cell_id", number.alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct(gene, "x"))).alias("_m"))
+    grid = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    grid = grid.join(own, ["cell_id", "_block"], "left").join(blocks, "_block").withColumn("_g", F.explode("_list"))
     value = F.coalesce(F.try_element_at(F.col("_m"), F.col("_g")[gene]), F.lit(0.0))
     return grid.select(
         *cells.columns, F.col("_g")[gene].alias(gene), value.alias("x"), *[F.col("_g")[c].alias(c) for c in columns]

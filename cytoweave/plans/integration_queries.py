@@ -104,8 +104,8 @@ def mixing_scores(spark, sf):
           count(*) OVER (PARTITION BY cell_type) AS k FROM emb GROUP BY 1, 2),
         ob AS (SELECT src, x.cell_type, y.batch, count(*) AS o FROM knn JOIN emb x ON x.cell_id = src JOIN emb y ON y.cell_id = dst
                WHERE x.cell_type = y.cell_type GROUP BY ALL),
-        ch AS (SELECT src, cell_type, sum(o * o / f) / sum(o) - sum(o) AS c FROM ob JOIN sh USING (cell_type, batch) WHERE k > 1 GROUP BY 1, 2)
-        SELECT cell_type, round(avg(c), 6) AS mean_chi2, count(*) AS n_cells FROM ch GROUP BY 1""",
+        ch AS (SELECT src, sum(o * o / f) / sum(o) - sum(o) AS c FROM ob JOIN sh USING (cell_type, batch) WHERE k > 1 GROUP BY 1)
+        SELECT cell_type, round(avg(coalesce(c, 0)), 6) AS mean_chi2, count(*) AS n_cells FROM emb LEFT JOIN ch ON src = cell_id GROUP BY 1""",
 )
 def batch_chi_square(spark, sf):
     return rounded(_acceptance(spark, sf).select("cell_type", "mean_chi2", "n_cells"))
@@ -134,13 +134,13 @@ def graph_connectivity(spark, sf):
     return rounded(integration.graph_connectivity(knn(spark, sf, 5), t.emb_cells(spark, sf)))
 
 
-def _r2(n: int, name: str) -> str:
+def _r2(src: str, name: str) -> str:
     return f"""{name} AS (SELECT sum(gb) / sum(tt) AS r FROM (SELECT dim, sum(s * s / n) - any_value(gs * gs / gn) AS gb, any_value(gq - gs * gs / gn) AS tt FROM
-      (SELECT dim, study, sum(v) AS s, count(*) AS n FROM dims WHERE dim < {n} GROUP BY 1, 2) JOIN
-      (SELECT dim, sum(v) AS gs, count(*) AS gn, sum(v * v) AS gq FROM dims GROUP BY 1) USING (dim) GROUP BY 1))"""
+      (SELECT dim, study, sum(v) AS s, count(*) AS n FROM {src} GROUP BY 1, 2) JOIN
+      (SELECT dim, sum(v) AS gs, count(*) AS gn, sum(v * v) AS gq FROM {src} GROUP BY 1) USING (dim) GROUP BY 1))"""
 
 
-@query("batch_variance", "K19", f"{WE}, {t.DIMS}, {_r2(64, 'b')} SELECT round(r, 6) AS batch_r2 FROM b")
+@query("batch_variance", "K19", f"{WE}, {t.DIMS}, {_r2('dims', 'b')} SELECT round(r, 6) AS batch_r2 FROM b")
 def batch_variance(spark, sf):
     return rounded(integration.batch_variance(t.emb(spark, sf)))
 
@@ -148,11 +148,11 @@ def batch_variance(spark, sf):
 @query(
     "batch_variance_drop",
     "K19",
-    f"{WE}, {t.DIMS}, {_r2(64, 'b')}, {_r2(32, 'h')} SELECT round(greatest((b.r - h.r) / b.r, 0), 6) AS pcr_comparison FROM b, h",
+    f"{WE}, {t.DIMS}, {t.PROTOS}, {t.DISTS}, far AS (SELECT study, proto_id AS dim, d AS v FROM dists), {_r2('dims', 'b')}, {_r2('far', 'h')} SELECT round(greatest((b.r - h.r) / b.r, 0), 6) AS pcr_comparison FROM b, h",
 )
 def batch_variance_drop(spark, sf):
     k = keys(spark, sf)
-    return rounded(integration.batch_variance_drop(k["X"], k["X_half"]))
+    return rounded(integration.batch_variance_drop(k["X"], k["X_proto"]))
 
 
 @query(
@@ -194,7 +194,7 @@ def label_graph_consensus(spark, sf):
 @query(
     "label_graph_scores",
     "K21",
-    f"""{WE}, {t.DIMS}, {CONSENSUS}, hd AS (SELECT * FROM dims WHERE dim < 32), {_trimmed('cell_type', 'hd', 'oc')},
+    f"""{WE}, {t.DIMS}, {CONSENSUS}, {t.PROTOS}, {t.DISTS}, hd AS (SELECT cell_id, cell_type, study, label, proto_id AS dim, d AS v FROM dists), {_trimmed('cell_type', 'hd', 'oc')},
         od AS (SELECT a.cell_type AS i, b.cell_type AS j, sqrt(sum((a.v - b.v) ** 2)) AS d FROM oc a JOIN oc b ON a.dim = b.dim GROUP BY ALL),
         ow AS (SELECT i, j, coalesce(d / nullif(max(d) OVER (PARTITION BY j), 0), 0) AS x FROM od),
         bo AS (SELECT i, j, x, cs.d AS y, CASE WHEN cs.d > 0 THEN 1 / cs.d ELSE 0 END AS w FROM ow JOIN cs USING (i, j) WHERE i <> j),
@@ -206,4 +206,4 @@ def label_graph_consensus(spark, sf):
 )
 def label_graph_scores(spark, sf):
     k = keys(spark, sf)
-    return rounded(integration.label_graph_scores(k["X_half"], integration.label_graph_consensus(k["X"])))
+    return rounded(integration.label_graph_scores(k["X_proto"], integration.label_graph_consensus(k["X"])))

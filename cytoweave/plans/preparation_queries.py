@@ -171,7 +171,7 @@ def pca_variable_genes(spark, sf):
     """Components of the log counts on the most variable genes."""
     logged = _logged(spark, sf)
     top = [r[0] for r in prep.top_variable(prep.dispersion_scores(logged, t.count_cells(spark, sf)), 50).select("gene_id").collect()]
-    scores, _ = prep.pca(prep.dense_vectors(logged, "gene_id", top), 5)
+    scores, _ = prep.pca(prep.dense_vectors(logged, "gene_id", top, t.count_cells(spark, sf)), 5)
     return rounded(scores.select("cell_id", F.posexplode("vec").alias("component", "value")), 5)
 
 

@@ -241,19 +241,6 @@ def join_metrics(spark, sf):
     return rounded(relate.join_metrics(a, b))
 
 
-@query(
-    "outer_by_class",
-    "D2",
-    """SELECT coalesce(a.class, b.class) AS "class", round(a.f1, 6) AS low, round(b.f1, 6) AS high FROM
-         (SELECT source AS class, avg(n_chars) AS f1 FROM documents WHERE n_chars < 200 GROUP BY 1) a FULL OUTER JOIN
-         (SELECT source AS class, avg(n_chars) AS f1 FROM documents WHERE n_chars > 20000 GROUP BY 1) b ON a.class = b.class""",
-)
-def outer_by_class(spark, sf):
-    docs = t.table(spark, sf, "documents").select(F.col("source").alias("class"), "n_chars")
-    low = docs.where("n_chars < 200").groupBy("class").agg(F.avg("n_chars").alias("f1"))
-    high = docs.where("n_chars > 20000").groupBy("class").agg(F.avg("n_chars").alias("f1"))
-    return rounded(relate.outer_by_class({"low": low, "high": high}))
-
 
 def _long(spark, sf):
     runs = t.metric_runs(spark, sf)

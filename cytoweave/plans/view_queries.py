@@ -135,9 +135,8 @@ def mixed_views(spark, sf):
 def noise_views(spark, sf):
     """User x event-type counts with negative-binomial noise."""
     ec = t.event_counts(spark, sf)
-    # one more than may be dense: dense_vectors refuses a longer list
-    genes = sorted(r[0] for r in ec.select("gene").distinct().limit(prep.MAX_DENSE_GENES + 1).collect())
-    dense = prep.dense_vectors(ec, "gene", genes)
+    genes = sorted(r[0] for r in ec.select("gene").distinct().collect())
+    dense = prep.dense_vectors(ec, "gene", genes, ec.select("cell_id").distinct())
     mean = dense.agg(V.mean_vector("vec").alias("m")).first()[0]
     return views.noise_views(dense, mean, [1.0] * len(genes), 2)
 

@@ -47,9 +47,9 @@ def reuse_or_compute(
     return load_metrics(spark, path).join(requested, ["model", "split", "metric"], "left_semi")
 
 
-def graph_path(root: str, dataset: str, n_cells: int, reduction: str | None, components: int | None, k: int) -> str:
+def graph_path(root: str, dataset: str, n_cells: int, reduction: str | None, components: int | None, k: int, metric: str = "l2", nprobe: int | None = None, seed: int = 0) -> str:
     """Folder of a stored graph, derived from everything that determines it."""
-    return os.path.join(root, f"graph_{dataset}_{n_cells}_{reduction or 'none'}_{components or 0}_knn{k}")
+    return os.path.join(root, f"graph_{dataset}_{n_cells}_{reduction or 'none'}_{components or 0}_knn{k}_{metric}_probe{nprobe or 'all'}_seed{seed}")
 
 
 def cached_graph(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -41,9 +41,14 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def epoch_averages(events: DataFrame, time: str, value: str, weight: str, lateness: str = "1 day") -> DataFrame:
-    """sum(v * n) / sum(n) per day; the watermark bounds the state."""
-    windowed = events.withWatermark(time, lateness).groupBy(F.window(time, "1 day"))
+def epoch_averages(events: DataFrame, time: str, value: str, weight: str, lateness: str | None = None) -> DataFrame:
+    """sum(v * n) / sum(n) per day.
+
+    No row is ever too late by default, at the price of one state row per day.  ``lateness`` sets a
+    watermark that bounds the state and drops what comes later.
+    """
+    events = events if lateness is None else events.withWatermark(time, lateness)
+    windowed = events.groupBy(F.window(time, "1 day"))
     return windowed.agg(
         F.sum(F.col(value) * F.col(weight)).alias("s"), F.sum(F.col(weight).cast("double")).alias("w")
     ).select(F.col("window.start").alias("epoch"), "s", "w", (F.col("s") / F.col("w")).alias("avg"))

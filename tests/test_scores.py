@@ -37,7 +37,7 @@ def test_density_forms_agree_and_match_formula(vectors, spark):
     diff = xy[:, None, :] - xy[None, :, :]
     want = np.exp(-0.5 * np.einsum("abi,ij,abj->ab", diff, np.linalg.inv(cov), diff)).sum(1) / (300 * 2 * np.pi * np.sqrt(np.linalg.det(cov)))
     assert np.allclose(exact, want)
-    mesh = np.array([r["density"] for r in evaluate.point_density(pts, exact_points=0).orderBy("cell_id").collect()])
+    mesh = np.array([r["density"] for r in evaluate.mesh_density(pts).orderBy("cell_id").collect()])
     assert np.allclose(mesh, want, rtol=1e-2)
 
 
