@@ -3,7 +3,9 @@
 A plain window sorts each group inside one task; with one key holding a third of
 the rows that task is the job.  Here the order key is cut into buckets first:
 bucket totals are pre-aggregated, their (small) running total gives each bucket
-an offset, and only (group, bucket) slices are sorted.  The result is exact.
+an offset, and only (group, bucket) slices are sorted.  The result is exact for any
+buckets; slices are even only where the buckets are, so callers fold equal values first
+or take quantiles as borders.
 """
 
 from __future__ import annotations
@@ -67,6 +69,22 @@ def uniform_rank(
     return ranked.withColumn(out, F.col(out).cast("bigint"))
 
 
+def quantile_buckets(df: DataFrame, column: str, out: str, rows_per_bucket: int = 10_000, most: int = 4096) -> DataFrame:
+    """``df`` with a bucket number that is monotone in ``column``; borders are quantiles of the column.
+
+    Buckets hold about ``rows_per_bucket`` rows whatever the distribution, if no value repeats: fold
+    equal values first.  ``most`` bounds the borders that are sent to the tasks.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    n = min(most, df.count() // rows_per_bucket + 1)
+    shares = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(column, shares, 4 * most)).first()[0] if shares else []
+    borders = sorted(set(float(b) for b in found or []))
+    cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol=column, outputCol=out) if borders else None
+    return cut.transform(df) if cut else df.withColumn(out, F.lit(0.0))
+
+
 def width_bucket(x: str, low: Column, high: Column, buckets: int = 1024) -> Column:
     """Equal-width bucket of ``x`` between ``low`` and ``high`` (monotone in ``x``)."""
     span = high - low

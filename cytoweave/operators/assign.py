@@ -12,11 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
-from ..functions.bounds import MAX_ELEMENTS, bounded_matrix
 from ..functions.rand import uniform
 from ..session import cut_lineage
 from .proto import nearest_prototype, score_arrays
@@ -53,7 +52,7 @@ def sinkhorn(
     by = list(by)
     top = scores.agg(F.max(F.array_max("s"))).scalar()
     base = scores.withColumn("_top", top).withColumn("_e", F.transform("s", lambda x: F.exp((x - F.col("_top")) / epsilon)))
-    base = base.drop("_top")
+    base = cut_lineage(base.drop("_top"))  # scores are computed once, whatever the rounds
     state = base.withColumn("_c", F.lit(1.0))
     for i in range(iterations):
         summed = vector_to_array(Summarizer.sum(array_to_vector(F.col("_e")), F.col("_c")))
@@ -239,30 +238,18 @@ def kmeans_prototypes(cells: DataFrame, k: int, seed: int = 0, max_iter: int = 2
 def spherical_kmeans(cells: DataFrame, k: int, rounds: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """k-means on unit vectors by dot product: (centroids, cells with ``proto_id``).
 
-    Starts from the ``k`` cells with the smallest keyed draw.  A centroid without
-    cells keeps its place.  Between rounds only the k centroids (model state, a
-    checked size) pass the driver; every round is one scan with map-side sums.
+    Starts from the ``k`` cells with the smallest keyed draw, numbered by id.  A centroid
+    without cells keeps its place.  Unit vectors are written once; a round is one scan
+    with map-side sums, and centroids stay a table (of any size).
     """
-    spark = cells.sparkSession
-    unit = cells.withColumn("vec", V.unit_kernel()("vec"))
+    unit = cut_lineage(cells.withColumn("vec", V.unit_kernel()("vec")))
     start = unit.select("cell_id", "vec").orderBy(uniform(seed, "centroid", F.col("cell_id")), "cell_id").limit(k)
-    rows = sorted(start.collect(), key=lambda r: r[0])
-    if rows and len(rows) * len(rows[0][1]) > MAX_ELEMENTS:
-        raise ValueError("k x dimensions is too large for a set of centroids")
-    centre = np.array([r[1] for r in rows], dtype=np.float64)
-    schema = "proto_id int, vec array<double>"
-
-    def frame(m: np.ndarray) -> DataFrame:
-        return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(m)], schema)
-
+    number = (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("int")  # k rows
+    centre = cut_lineage(start.select(number.alias("proto_id"), "vec"))
     for _ in range(rounds):
-        moved = nearest_prototype(unit, frame(centre), "dot").groupBy("proto_id").agg(V.mean_vector("vec").alias("vec"))
-        found = bounded_matrix(moved, "proto_id", "vec", max_rows=k)
-        ids, mean = found
-        centre = centre.copy()
-        centre[ids.astype(int)] = V.unit_rows(mean)
-    final = frame(centre)
-    return final, nearest_prototype(unit, final, "dot")
+        moved = nearest_prototype(unit, centre, "dot").groupBy("proto_id").agg(V.mean_vector("vec").alias("_new"))
+        centre = cut_lineage(centre.join(moved, "proto_id", "left").select("proto_id", F.coalesce(V.unit("_new"), "vec").alias("vec")))
+    return centre, nearest_prototype(unit, centre, "dot")
 
 
 def spherical_kmeans_banks(banks: dict[int, DataFrame], ks: Sequence[int], rounds: int = 10, seed: int = 0) -> DataFrame:

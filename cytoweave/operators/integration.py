@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vec as V
-from ..functions.ranks import running_sum, width_bucket
+from ..functions.ranks import quantile_buckets, running_sum, width_bucket
 from ..functions.special import chi2_p
 from ..session import cut_lineage
 from .graph import connected_components
@@ -113,18 +113,18 @@ def isolated_label_silhouette(cells: DataFrame, label: str = "cell_type", batch:
 # --- neighbourhood mixing ------------------------------------------------------------------------------
 
 
-def exact_median(df: DataFrame, column: str, tie: str = "cell_id") -> DataFrame:
-    """Exact median of a column of any length, by bucketed ranks.
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """Exact median of a column of any length.
 
-    The values are read three times, so they are written once.
+    Equal values are counted first, so a value that nearly all rows share is one row; the running
+    count over the values is cut at quantiles.
     """
-    df = cut_lineage(df.where(F.col(column).isNotNull()).select(column, tie))
-    span = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n"))).scalar()
-    base = df.withColumn("_s", span)
-    ranked = running_sum(base, [], width_bucket(column, F.col("_s.lo"), F.col("_s.hi")), [column, tie], F.lit(1), "_r")
-    n = F.col("_s.n")
-    mid = ranked.where((F.col("_r") == F.floor((n + 1) / 2)) | (F.col("_r") == F.ceil((n + 1) / 2)))
-    return mid.agg(F.avg(column).alias("median"))
+    values = cut_lineage(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    total = values.agg(F.sum("n").alias("t")).scalar()
+    ranked = running_sum(quantile_buckets(values, "v", "b"), [], F.col("b"), ["v"], F.col("n"), "r").withColumn("t", total)
+    middle = F.explode(F.array(F.floor((F.col("t") + 1) / 2), F.ceil((F.col("t") + 1) / 2)))
+    mid = ranked.select("v", "n", "r", middle.alias("m")).where((F.col("r") >= F.col("m")) & (F.col("r") - F.col("n") < F.col("m")))
+    return mid.agg(F.avg("v").alias("median"))
 
 
 def neighbour_diversity(knn: DataFrame, cells: DataFrame, label: str, perplexity: float = 30.0) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions import vec as V
 from ..functions.bounds import MAX_ELEMENTS
 from ..functions.rand import uniform
+from ..session import cut_lineage
 from .rank import top_k
 from .tiles import ROWS_PER_TILE, tile_map, unpack
 
@@ -57,22 +58,39 @@ def _assign(df: DataFrame, pivots: np.ndarray, cosine: bool) -> DataFrame:
     return df.withColumn("_p", udf("vec")).select("cell_id", "vec", F.col("_p.pivot").alias("pivot"), F.col("_p.d").alias("d"))
 
 
+def _visits(df: DataFrame, pivots: np.ndarray, stats: dict, nprobe: int) -> DataFrame:
+    """Adds the ``nprobe`` nearest groups of each row, so what a row sees does not depend on its tile."""
+    groups = np.array(sorted(p for p in stats if p != ZERO), dtype=np.int32)
+    centres = pivots[groups] if len(groups) else np.zeros((0, pivots.shape[1]))
+
+    def near(col: pa.Array) -> pa.Array:
+        x = V.matrix(col)
+        step = max(1, BLOCK // max(1, len(groups)))
+        parts = [groups[np.argsort(V.cross_l2sq(x[i : i + step], centres), axis=1, kind="stable")[:, :nprobe]].tolist() for i in range(0, len(x), step)]
+        return pa.array([row for part in parts for row in part], type=pa.list_(pa.int32()))
+
+    return df.withColumn("visits", F.arrow_udf(near, T.ArrayType(T.IntegerType()))("vec"))
+
+
+def _tile_counts(sizes: dict[int, int], rows_per_tile: int) -> list[int]:
+    """Tiles of each group, from ``ZERO`` on."""
+    return [max(1, math.ceil(sizes.get(p, 0) / rows_per_tile)) for p in range(ZERO, max(sizes, default=0) + 1)]
+
+
 def _stats(assigned: DataFrame) -> dict[int, tuple[int, float, float]]:
     """Per pivot group: rows, largest and smallest distance.  At most MAX_PIVOTS + 1 rows."""
     rows = assigned.groupBy("pivot").agg(F.count("*"), F.max("d"), F.min("d")).collect()
     return {r[0]: (r[1], r[2], r[3]) for r in rows}
 
 
-def _pack(assigned: DataFrame, sizes: dict[int, int], rows_per_tile: int) -> DataFrame:
-    top = max(sizes) if sizes else 0
-    per = [max(1, math.ceil(sizes.get(p, 0) / rows_per_tile)) for p in range(ZERO, top + 1)]
-    count = F.element_at(F.lit(per), F.col("pivot") + F.lit(2))
+def _pack(assigned: DataFrame, sizes: dict[int, int], rows_per_tile: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    count = F.element_at(F.lit(_tile_counts(sizes, rows_per_tile)), F.col("pivot") + F.lit(2))
     salted = assigned.withColumn("salt", F.pmod(F.xxhash64("cell_id"), count.cast("bigint")).cast("int"))
-    return salted.groupBy("pivot", "salt").agg(F.collect_list(F.struct("cell_id", "vec")).alias("rows"))
+    return salted.groupBy("pivot", "salt").agg(F.collect_list(F.struct("cell_id", "vec", *extra)).alias("rows"))
 
 
-def _router(pivots, stats, need: int, nprobe: int | None, cosine: bool):
-    """Pivot groups each query tile must visit."""
+def _router(pivots, stats, need: int, probing: bool, cosine: bool):
+    """Pivot groups each query tile must visit: those some row may need, or that some row asks for."""
     groups = np.array(sorted(p for p in stats if p != ZERO), dtype=np.int64)
     count = np.array([stats[p][0] for p in groups])
     far = np.array([stats[p][1] for p in groups])
@@ -85,10 +103,6 @@ def _router(pivots, stats, need: int, nprobe: int | None, cosine: bool):
     def near_groups(x: np.ndarray) -> np.ndarray:
         """Mask of the groups some row of the block needs."""
         d = np.sqrt(V.cross_l2sq(x, centres))
-        if nprobe is not None:
-            mask = np.zeros(len(groups), dtype=bool)
-            mask[np.argsort(d, axis=1, kind="stable")[:, :nprobe]] = True
-            return mask
         # all rows of group j lie within d + far[j]: one group with enough rows bounds the k-th distance
         upper = d + far
         if full.any():
@@ -116,18 +130,26 @@ def _router(pivots, stats, need: int, nprobe: int | None, cosine: bool):
     def route(col: pa.Array) -> pa.Array:
         out = []
         for i in range(len(col)):
-            _, x = unpack(col[i].values)
-            ids = wanted(x).tolist()
+            rows = col[i].values
+            if probing:
+                ids = np.unique(np.asarray(rows.field("visits").flatten())).tolist()
+            else:
+                ids = wanted(unpack(rows)[1]).tolist()
             out.append(ids + [ZERO] if has_zero else ids)
         return pa.array(out, type=pa.list_(pa.int32()))
 
     return F.arrow_udf(route, T.ArrayType(T.IntegerType()))
 
 
-def _topk_kernel(k: int, exclude_self: bool, cosine: bool):
+def _topk_kernel(k: int, exclude_self: bool, cosine: bool, probing: bool):
     def kernel(row: dict) -> pa.RecordBatch | None:
         qid, q = unpack(row["rows"])
         bid, b = unpack(row["other"])
+        if probing and row["to"] != ZERO:
+            asked = (np.asarray(row["rows"].field("visits").flatten()).reshape(len(qid), -1) == row["to"]).any(1)
+            qid, q = qid[asked], q[asked]
+            if not len(qid):
+                return None
         src, dst, dist = [], [], []
         step = max(1, (1 << 18) // max(1, len(bid)))
         for s in range(0, len(qid), step):
@@ -175,7 +197,9 @@ def knn_join(
     ``metric``: ``l2sq``, ``l2`` or ``cosine`` (1 - dot of unit vectors).  Ties go to
     the lower id.  ``exclude_self`` removes the row with the query's own id, which
     stays right when vectors are duplicated.  Tables with many equal vectors are
-    folded first (see :func:`_knn_folded`); by default one counting pass decides.
+    folded first (see :func:`_knn_folded`), which an exact search does by itself where it
+    saves work: its answer is the same.  ``nprobe`` visits each row's nearest pivot groups only; the
+    answer depends on the pivots, not on tiles, and copies are folded only if asked for.
     """
     cosine = metric == "cosine"
     same = queries is base
@@ -184,7 +208,7 @@ def knn_join(
     if pivots is None or fold_copies is None:
         facts = base.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("vec"), 0.02)).first()
         pivots = pivots or min(MAX_PIVOTS, math.ceil(facts[0] / rows_per_tile))
-        fold_copies = facts[1] < 0.8 * facts[0] if fold_copies is None else fold_copies
+        fold_copies = nprobe is None and facts[1] < 0.8 * facts[0] if fold_copies is None else fold_copies
     if fold_copies:
         args = dict(metric=metric, nprobe=nprobe, pivots=pivots, rows_per_tile=rows_per_tile)
         return _knn_folded(queries, base, k, exclude_self, args)
@@ -192,16 +216,22 @@ def knn_join(
     schema = "src bigint, dst bigint, dist double"
     if not len(centre):
         return queries.sparkSession.createDataFrame([], "src bigint, dst bigint, rank int, dist double")
-    b = _assign(base, centre, cosine)
+    probing = nprobe is not None
+    b = cut_lineage(_assign(base, centre, cosine))
     stats = _stats(b)
-    q = b if same else _assign(queries, centre, cosine)
-    qsizes = {p: s[0] for p, s in (stats if same else _stats(q)).items()}
-    bt = _pack(b, {p: s[0] for p, s in stats.items()}, rows_per_tile)
-    qt = bt if same else _pack(q, qsizes, rows_per_tile)
-    route = _router(centre, stats, k + int(exclude_self), nprobe, cosine)
+    sizes = {p: s[0] for p, s in stats.items()}
+    q = b if same else cut_lineage(_assign(queries, centre, cosine))
+    qsizes = sizes if same else {p: s[0] for p, s in _stats(q).items()}
+    bt = _pack(b, sizes, rows_per_tile)
+    qt = _pack(_visits(q, centre, stats, nprobe), qsizes, rows_per_tile, ("visits",)) if probing else bt if same else _pack(q, qsizes, rows_per_tile)
+    route = _router(centre, stats, k + int(exclude_self), probing, cosine)
     routed = qt.select("rows", F.explode(route("rows")).alias("to"))
-    pairs = routed.join(bt.select(F.col("pivot").alias("to"), F.col("rows").alias("other")), "to").select("rows", "other")
-    found = tile_map(pairs, _topk_kernel(k, exclude_self, cosine), schema)
+    # a group of any size is as many addresses as it has tiles
+    last = F.element_at(F.lit(_tile_counts(sizes, rows_per_tile)), F.col("to") + F.lit(2)) - 1
+    addressed = routed.withColumn("at", F.explode(F.sequence(F.lit(0), last)))
+    target = bt.select(F.col("pivot").alias("to"), F.col("salt").alias("at"), F.col("rows").alias("other"))
+    pairs = addressed.join(target, ["to", "at"]).select("to", "rows", "other")
+    found = tile_map(pairs, _topk_kernel(k, exclude_self, cosine, probing), schema)
     best = top_k(found, ["src"], [F.asc("dist"), F.asc("dst")], k)
     if metric == "l2":
         best = best.withColumn("dist", F.sqrt("dist"))

@@ -39,18 +39,22 @@ def pack(df: DataFrame, keys: Sequence[str], rows_per_tile: int = ROWS_PER_TILE,
 def pair_within(left: DataFrame, right: DataFrame, scope: Sequence[str], right_keys: Sequence[str]) -> DataFrame:
     """Every left tile with every right tile of the same scope.
 
-    Tile addresses (not tiles) are listed per scope and exploded, so the join is
-    an equi-join on the full tile address and a large scope spreads over it.
+    Per scope only the tile count of every right key is listed; salts are exploded from
+    it, so the join is an equi-join on the full tile address, a large scope spreads
+    over it, and nothing that grows with the rows is copied to each tile.
     Output: left columns, right keys, ``rows`` of the left and ``other`` of the right.
     """
     scope, right_keys = list(scope), list(right_keys)
     address = [c for c in [*right_keys, "salt"] if c not in scope]
-    listed = F.collect_list(F.struct(*address)).alias("_adr")
+    inner = [c for c in address if c != "salt"]
+    counts = right.groupBy(*scope, *inner).agg((F.max("salt") + 1).alias("_n"))
+    listed = F.collect_list(F.struct(*inner, "_n")).alias("_adr")
     if scope:
-        routed = left.join(right.groupBy(*scope).agg(listed), scope)
+        routed = left.join(counts.groupBy(*scope).agg(listed), scope)
     else:
-        routed = left.withColumn("_adr", right.agg(listed).scalar())
-    routed = routed.withColumn("_to", F.explode("_adr")).drop("_adr")
+        routed = left.withColumn("_adr", counts.agg(listed).scalar())
+    routed = routed.withColumn("_key", F.explode("_adr")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_key._n") - 1)))
+    routed = routed.withColumn("_to", F.struct(*[F.col("_key")[c].alias(c) for c in inner], F.col("_salt").alias("salt"))).drop("_adr", "_key", "_salt")
     target = right.select(
         *[F.col(c).alias(f"_r_{c}") for c in [*scope, *address]], F.col("rows").alias("other")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vec as V
 from ..functions.rand import uniform
 from ..operators import assign, proto, rank
+from ..session import cut_lineage
 from . import tables as t
 from .registry import query, rounded
 
@@ -261,23 +262,25 @@ def _crops(value: str, out: str) -> str:
         SELECT anchor_id, i, v, sum({value}) AS x FROM pr GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"""
 
 
-def _q(spark, sf):
-    return assign.sinkhorn(_view_scores(spark, sf), EPS, by=["view_no"])
+def _q_and_scores(spark, sf):
+    """Assignments and the scores they come from; scores are written once."""
+    scores = cut_lineage(_view_scores(spark, sf))
+    return assign.sinkhorn(scores, EPS, by=["view_no"]), scores
 
 
 @query("swapped_cross_entropy", "J16", f"{VIEW_Q}, {VIEW_P} {_crops('-q * logp', 'loss')}")
 def swapped_cross_entropy(spark, sf):
-    return rounded(assign.swapped_cross_entropy(_q(spark, sf), _view_scores(spark, sf), TEMP))
+    return rounded(assign.swapped_cross_entropy(*_q_and_scores(spark, sf), TEMP))
 
 
 @query("swapped_kl", "J17", f"{VIEW_Q}, {VIEW_P} {_crops('q * (ln(q + 1e-9) - ln(p + 1e-9))', 'kl')}")
 def swapped_kl(spark, sf):
-    return rounded(assign.swapped_kl(_q(spark, sf), _view_scores(spark, sf), TEMP))
+    return rounded(assign.swapped_kl(*_q_and_scores(spark, sf), TEMP))
 
 
 @query("swapped_kl_reverse", "J17", f"{VIEW_Q}, {VIEW_P} {_crops('p * (ln(p + 1e-9) - ln(q + 1e-9))', 'kl')}")
 def swapped_kl_reverse(spark, sf):
-    return rounded(assign.swapped_kl(_q(spark, sf), _view_scores(spark, sf), TEMP, reverse=True))
+    return rounded(assign.swapped_kl(*_q_and_scores(spark, sf), TEMP, reverse=True))
 
 
 @query(
