@@ -170,6 +170,18 @@ def mixed_views(
     return typed.unionAll(walked)
 
 
+def _binomial_steps(r: float, p: float) -> np.ndarray:
+    """Cumulative probabilities of 0, 1, 2, ... failures, up to where the rest is below 1e-12."""
+    n = 64
+    while True:
+        k = np.arange(1, n)
+        logs = np.concatenate([[r * np.log(p)], r * np.log(p) + np.cumsum(np.log(k - 1 + r) - np.log(k) + np.log1p(-p))])
+        steps = np.cumsum(np.exp(logs))
+        if steps[-1] > 1.0 - 1e-12 or n >= 1 << 22:
+            return steps
+        n *= 2
+
+
 def noise_views(
     dense: DataFrame, mean: Sequence[float], dispersion: Sequence[float], n_views: int, form: str = "reference", seed: int = 0
 ) -> DataFrame:
@@ -177,7 +189,8 @@ def noise_views(
 
     ``form='reference'`` uses success probability mu / (mu + r) (noise mean r^2 / mu);
     ``'standard'`` uses r / (mu + r) (noise mean mu).  Genes with mean 0 get no noise.
-    Every (cell, view) has its own generator, so retries repeat the draw.
+    Every (cell, view, gene) has a keyed uniform draw, which the inverse distribution turns
+    into a count: retries and partitions repeat it.
     """
     mu = np.asarray(mean, dtype=np.float64)
     r = np.asarray(dispersion, dtype=np.float64)
@@ -185,20 +198,29 @@ def noise_views(
     p = np.where(live, (mu if form == "reference" else r) / np.where(live, mu + r, 1.0), 0.5)
 
     def run(batches):
+        steps: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            x = V.matrix(batch.column(1))
-            for v in range(n_views):
-                out = np.empty_like(x)
-                for i, cell in enumerate(ids):
-                    g = np.random.Generator(np.random.Philox(key=[np.uint64(seed), np.uint64(cell)], counter=[0, 0, 0, v]))
-                    out[i] = np.maximum(x[i] + np.where(live, g.negative_binomial(r, p), 0), 0.0)
-                yield pa.record_batch(
-                    [batch.column(0), pa.array(np.full(len(ids), v, dtype=np.int32)), V.row_lists(out)],
-                    names=["anchor_id", "view_no", "vec"],
-                )
-
-    return dense.select("cell_id", "vec").mapInArrow(run, "anchor_id bigint, view_no int, vec array<double>")
+            x, u = V.matrix(batch.column(2)), V.matrix(batch.column(3))
+            out = x.copy()
+            for j in np.flatnonzero(live):
+                if j not in steps:
+                    steps[j] = _binomial_steps(r[j], p[j])
+                out[:, j] = np.maximum(x[:, j] + np.searchsorted(steps[j], u[:, j], side="left"), 0.0)
+            yield pa.record_batch([batch.column(0), batch.column(1), V.row_lists(out)], names=["anchor_id", "view_no", "vec"])
+
+    views = F.explode(F.sequence(F.lit(0), F.lit(n_views - 1))).alias("view_no")
+    rows = dense.select(F.col("cell_id").alias("anchor_id"), views, F.col("vec").cast("array<double>").alias("vec"))
+    drawn = rows.withColumn("u", F.transform("vec", lambda _, i: uniform(seed, "noise", F.col("anchor_id"), F.col("view_no"), i)))
+    return drawn.mapInArrow(run, "anchor_id bigint, view_no int, vec array<double>")
+
+
+def gene_dispersion(dense: DataFrame, genes: int, floor: float = 0.01) -> tuple[list[float], list[float]]:
+    """Mean and negative-binomial size of every gene: 1 / overdispersion, by moments over all cells."""
+    at = lambda i: F.col("vec")[i]
+    row = dense.agg(*[f(at(i)) for i in range(genes) for f in (F.avg, F.var_samp)]).first()
+    mean = [float(row[2 * i] or 0.0) for i in range(genes)]
+    over = [max(((row[2 * i + 1] or 0.0) - m) / (m * m), floor) if m > 0 else floor for i, m in enumerate(mean)]
+    return mean, [1.0 / o for o in over]
 
 
 def mask_views(counts: DataFrame, n_views: int, p: float = 0.2, seed: int = 0) -> DataFrame:

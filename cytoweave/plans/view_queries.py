@@ -131,14 +131,24 @@ def mixed_views(spark, sf):
     return views.mixed_views(t.emb_cells(spark, sf), knn(spark, sf, 5), N, 0.5, 3)
 
 
-@query("noise_views", "I6")
+@query(
+    "noise_views",
+    "I6",
+    f"""WITH {t.EVENT_GRID}, ix AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS i FROM (SELECT DISTINCT gene FROM ec)),
+        mo AS (SELECT i, avg(x) AS mu, 1 / greatest((var_samp(x) - avg(x)) / (avg(x) * avg(x)), 0.01) AS r FROM grid JOIN ix USING (gene) GROUP BY 1),
+        pm AS (SELECT i, k, exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(mu / (mu + r)) + k * ln(r / (mu + r))) AS f FROM mo, range(0, 4000) k(k)),
+        cd AS (SELECT i, k, sum(f) OVER (PARTITION BY i ORDER BY k) AS c FROM pm),
+        dr AS (SELECT cell_id, view_no, i, x, {t.u_sql("'0'", "'noise'", 'cell_id', 'view_no', 'i')} AS u FROM grid JOIN ix USING (gene), (VALUES (0), (1)) v(view_no)),
+        lo AS (SELECT cell_id, view_no, dr.i, min(k) AS n FROM dr JOIN cd ON cd.i = dr.i AND cd.c >= dr.u GROUP BY ALL)
+        SELECT cell_id AS anchor_id, view_no, i::INT AS gene_no, x + coalesce(n, 4000) AS x FROM dr LEFT JOIN lo USING (cell_id, view_no, i)""",
+)
 def noise_views(spark, sf):
-    """User x event-type counts with negative-binomial noise."""
+    """User x event-type counts with negative-binomial noise, dispersion from the table."""
     ec = t.event_counts(spark, sf)
     genes = sorted(r[0] for r in ec.select("gene").distinct().collect())
     dense = prep.dense_vectors(ec, "gene", genes, ec.select("cell_id").distinct())
-    mean = dense.agg(V.mean_vector("vec").alias("m")).first()[0]
-    return views.noise_views(dense, mean, [1.0] * len(genes), 2)
+    noisy = views.noise_views(dense, *views.gene_dispersion(dense, len(genes)), 2)
+    return noisy.select("anchor_id", "view_no", F.posexplode("vec").alias("gene_no", "x"))
 
 
 @query(
