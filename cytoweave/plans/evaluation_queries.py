@@ -244,7 +244,21 @@ def point_density(spark, sf):
     return rounded(evaluate.point_density(_points(spark, sf)).select("cell_id", "density"))
 
 
-@query("point_density_mesh", "K26")
+@query(
+    "point_density_mesh",
+    "K26",
+    f"""WITH {t.EMB}, {_PTS}, st AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) * pow(count(*), -1.0 / 3) AS a,
+          var_samp(y) * pow(count(*), -1.0 / 3) AS b, covar_samp(x, y) * pow(count(*), -1.0 / 3) AS c FROM pts),
+        uv AS (SELECT cell_id, (x - mx) / sqrt(a) / 0.0625 AS u, ((y - my) - c / a * (x - mx)) / sqrt(b - c * c / a) / 0.0625 AS v,
+          1 / (n * 2 * pi() * sqrt(a * b - c * c)) AS s FROM pts, st),
+        nd AS (SELECT cell_id, s, floor(u) + di AS i, floor(v) + dj AS j,
+          (CASE WHEN di = 1 THEN u - floor(u) ELSE 1 - u + floor(u) END) * (CASE WHEN dj = 1 THEN v - floor(v) ELSE 1 - v + floor(v) END) AS w
+          FROM uv, (VALUES (0), (1)) a(di), (VALUES (0), (1)) b(dj)),
+        us AS (SELECT i, j, sum(w) AS c FROM nd GROUP BY 1, 2),
+        sm AS (SELECT p.i, p.j, sum(q.c * exp(-0.5 * 0.0625 * 0.0625 * ((p.i - q.i) ** 2 + (p.j - q.j) ** 2))) AS d
+          FROM us p JOIN us q ON abs(p.i - q.i) <= 92 AND abs(p.j - q.j) <= 92 GROUP BY 1, 2)
+        SELECT cell_id, round(sum(w * d * s), 6) AS density FROM nd JOIN sm USING (i, j) GROUP BY 1""",
+)
 def point_density_mesh(spark, sf):
     """The linear form."""
     return rounded(evaluate.mesh_density(_points(spark, sf)).select("cell_id", "density"))

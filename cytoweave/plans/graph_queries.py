@@ -36,15 +36,30 @@ def knn_cosine(spark, sf):
     return rounded(knn(spark, sf, metric="cosine"))
 
 
-@query("knn_approximate", "H4")
+def _probed(pivots: int, nprobe: int) -> str:
+    """Neighbours among the rows whose nearest pivot is one of the query's ``nprobe`` nearest."""
+    u = t.u_sql("'pivot'", "cell_id")
+    return f"""pv AS (SELECT row_number() OVER (ORDER BY {u}, cell_id) AS p, vec FROM emb QUALIFY p <= {pivots}),
+        dp AS (SELECT cell_id, p, row_number() OVER (PARTITION BY cell_id ORDER BY list_distance(e.vec, v.vec), p) AS r FROM emb e, pv v),
+        pr AS (SELECT a.cell_id AS src, b.cell_id AS dst, list_distance(a.vec, b.vec) ** 2 AS dist FROM emb a JOIN dp x ON x.cell_id = a.cell_id AND x.r <= {nprobe}
+               JOIN dp y ON y.p = x.p AND y.r = 1 JOIN emb b ON b.cell_id = y.cell_id WHERE a.cell_id <> b.cell_id),
+        near AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pr QUALIFY rank <= {K})"""
+
+
+@query("knn_approximate", "H4", f"{WITH_EMB}, {_probed(16, 4)} SELECT src, dst, rank::INT AS rank, round(dist, 6) AS dist FROM near")
 def knn_approximate(spark, sf):
     """Visit the 4 nearest of 16 groups only."""
-    return rounded(knn(spark, sf, nprobe=4, pivots=16, rows_per_tile=256))
+    return rounded(knn(spark, sf, nprobe=4, pivots=16))
 
 
-@query("knn_recall", "H4")
+@query(
+    "knn_recall",
+    "H4",
+    f"""{WITH_EMB}, {KNN}, {_probed(16, 4)} SELECT round(avg((near.dst IS NOT NULL)::INT), 6) AS recall
+        FROM knn LEFT JOIN near ON near.src = knn.src AND near.dst = knn.dst""",
+)
 def knn_recall(spark, sf):
-    found = knn(spark, sf, nprobe=4, pivots=16, rows_per_tile=256)
+    found = knn(spark, sf, nprobe=4, pivots=16)
     return rounded(neighbors.knn_recall(found, knn(spark, sf)))
 
 

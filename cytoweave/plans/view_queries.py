@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vec as V
 from ..operators import prep, proto, rank, views
 from . import tables as t
 from .graph_queries import knn
