@@ -45,6 +45,42 @@ HEADLINE = [
 ]
 
 
+def scaled(spark, sf_dir: str) -> dict[str, dict[str, float]]:
+    """Seconds, and microseconds per row, of three operators on more rows than the table has.
+
+    Rows of ``embeddings`` are repeated with a keyed shift, so copies stay neighbours but are not equal.
+    """
+    from pyspark.sql import functions as F
+
+    from cytoweave.functions.rand import uniform
+    from cytoweave.operators import assign, neighbors, proto
+    from cytoweave.plans import tables
+    from cytoweave.session import cut_lineage
+
+    base, protos = tables.emb(spark, sf_dir), cut_lineage(tables.protos(spark, sf_dir))
+    n = base.count()
+    out = {}
+    jobs = {
+        "knn_probed": lambda c: neighbors.knn_graph(c, 10, nprobe=4),
+        "nearest_prototype": lambda c: proto.nearest_prototype(c, protos),
+        "sinkhorn": lambda c: assign.sinkhorn(proto.score_arrays(c, protos)),
+    }
+    for times in (10, 100):
+        shift = lambda x, i: x + 0.1 * uniform("copy", F.col("cell_id"), F.col("_t"), i)
+        more = base.select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("_t"), "vec").select(
+            (F.col("cell_id") * times + F.col("_t")).alias("cell_id"), F.transform("vec", shift).alias("vec")
+        )
+        more = cut_lineage(more)
+        for name, job in jobs.items():
+            if name == "knn_probed" and times > 10:
+                continue
+            start = time.perf_counter()
+            job(more).write.format("noop").mode("overwrite").save()
+            took = time.perf_counter() - start
+            out[f"{name}_x{times}"] = {"sec": round(took, 3), "us_per_row": round(1e6 * took / (n * times), 2)}
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -59,6 +95,7 @@ def main() -> None:
         start = time.perf_counter()
         run(name)
         times[name] = round(time.perf_counter() - start, 3)
+    more = scaled(spark, sf_dir)
     spark.stop()
     print(
         json.dumps(
@@ -67,6 +104,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "scaled": more,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import vec as V
 from ..functions.rand import uniform
 from ..session import cut_lineage
-from .proto import nearest_prototype, score_arrays
+from .proto import nearest_prototype
 from .tiles import pack, pair_within, tile_map, unpack
 
 

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vec as V
 from .neighbors import knn_join
@@ -45,7 +44,6 @@ def knn_evaluation(cells: DataFrame, k: int = 5, test_size: float = 0.2, seed: i
 
 def linear_classify(train: DataFrame, test: DataFrame, label: str = "cell_type", max_iter: int = 1000, reg: float = 0.0) -> DataFrame:
     """Multinomial logistic regression on the vectors, until the fit settles (``max_iter`` at most)."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
 

@@ -9,7 +9,6 @@ join visits the nearest groups only, which makes it approximate and linear.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -290,8 +289,8 @@ def restrict_graph(knn: DataFrame, nodes: DataFrame, filter_src: bool = False) -
     return kept
 
 
-def same_label_fraction(edges: DataFrame, cells: DataFrame, label: str = "cell_type", by: Sequence[str] = ()) -> DataFrame:
-    """Share of a cell's neighbours that carry its label, averaged per label (or ``by``)."""
+def same_label_fraction(edges: DataFrame, cells: DataFrame, label: str = "cell_type") -> DataFrame:
+    """Share of a cell's neighbours that carry its label, averaged per label."""
     a = cells.select(F.col("cell_id").alias("src"), F.col(label).alias("_a"))
     b = cells.select(F.col("cell_id").alias("dst"), F.col(label).alias("_b"))
     tagged = edges.join(a, "src").join(b, "dst")

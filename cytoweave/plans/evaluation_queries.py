@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions import vec as V
 from ..operators import evaluate, prep, proto, relate
 from . import tables as t
 from .prototype_queries import _COS

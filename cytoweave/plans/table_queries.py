@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rand import uniform
 from ..operators import rank, relate, select, splits, stats
 from . import tables as t
 from .registry import query, rounded

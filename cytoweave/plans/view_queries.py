@@ -8,7 +8,7 @@ from ..operators import prep, proto, rank, views
 from . import tables as t
 from .graph_queries import knn
 from .prototype_queries import WITH_ASSIGNED
-from .registry import query, rounded
+from .registry import query
 
 N = 4  # views per anchor
 
