@@ -26,6 +26,10 @@ SPACE = r"[\x20\x09-\x0D]"
 GOOD, BAD, ABSTAIN = 1, 0, -1
 TOLERANCE = 1e-4
 FIRST_ACCURACY = 0.9
+# pseudo-counts of voting bad, abstaining, voting good: a bad vote on a good text is rare until seen
+PRIOR_GOOD, PRIOR_BAD = (0.1, 1.0, 1.0), (1.0, 1.0, 1.0)
+# what is taken for granted of every rule: it votes bad on bad texts so many times as often as on good ones
+LEAST_RATIO = 20.0
 WINDOW = 5
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_ends", "n_alone", "n_distinct_words")
 
@@ -47,7 +51,7 @@ RULES = (
     Rule("lines", "n_lines >= 4 and n_dup_lines > 0.5 * n_lines", NEVER),
     Rule("word length", "n_words >= 10 and (word_chars > 14 * n_words or word_chars < 2.5 * n_words)", NEVER),
     Rule("sentence ends", "n_words >= 20 and n_ends > 0.5 * n_words", "n_words >= 20 and n_ends between 0.01 * n_words and 0.4 * n_words"),
-    Rule("letters", "n_letters < 0.7 * word_chars", NEVER),
+    Rule("signs", "n_letters < 0.7 * word_chars", NEVER),
     Rule("lone signs", "n_alone > 0.1 * n_words", NEVER),
     Rule("variety", "n_words >= 30 and n_distinct_words < 0.15 * n_words", NEVER),
 )
@@ -56,7 +60,7 @@ RULES = (
 def signals(docs: DataFrame, into: str = "signals") -> DataFrame:
     """``docs`` with a struct of counts over the whole ``text`` (null: no words).
 
-    ``n_alone`` counts signs that stand between spaces.  ``n_repeat_words`` counts words inside 5-word windows that occur twice or more.  Windows are
+    ``n_letters`` counts digits too; ``n_alone`` counts signs that stand between spaces.  ``n_repeat_words`` counts words inside 5-word windows that occur twice or more.  Windows are
     hashed to 64 bits; only texts that hold a hash twice take the second, sorting step.
     """
     t, w, h, p, d, s = (free_name(docs, f"_{c}") for c in ("text", "words", "hashes", "pairs", "places", "lines"))
@@ -86,7 +90,7 @@ def signals(docs: DataFrame, into: str = "signals") -> DataFrame:
         long(F.size(s)).alias("n_lines"),
         long(F.size(s) - F.size(F.array_distinct(s))).alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        long(without(r"[^\p{L}]+")).alias("n_letters"),
+        long(without(r"[^\p{L}\p{N}]+")).alias("n_letters"),
         long(F.length(t) - without(r"\p{Lu}+")).alias("n_capitals"),
         long(F.length(t) - without(r"[.!?]+")).alias("n_ends"),
         long(F.length(t) - without(rf"(?<={SPACE})[^\p{{L}}\p{{N}}\x20\x09-\x0D]+(?={SPACE})")).alias("n_alone"),
@@ -126,8 +130,8 @@ class Weights:
 def fit(voted: DataFrame, rules: int = len(RULES), tolerance: float = TOLERANCE) -> Weights:
     """Estimate the weights from ``voted(votes)`` by expectation-maximisation, until they settle.
 
-    The first guess takes a text for bad (``FIRST_ACCURACY``) if any rule says so.  One pseudo-count
-    per outcome keeps all probabilities inside (0, 1); without documents only these are left.
+    The first guess takes a text for bad (``FIRST_ACCURACY``) if any rule says so.  Pseudo-counts
+    keep all probabilities inside (0, 1); without documents only these are left.
     """
     patterns = cut_lineage(voted.groupBy("votes").agg(F.count("*").cast("double").alias("n")).coalesce(1))
     guess = F.when(F.array_contains("votes", F.lit(BAD).cast("tinyint")), 1.0 - FIRST_ACCURACY).otherwise(FIRST_ACCURACY)
@@ -149,9 +153,14 @@ def _maximise(patterns: DataFrame, good: Column, rules: int) -> Weights:
         v = F.get(F.col("votes"), F.lit(i))
         sums += [F.sum(F.when(v == x, F.col(side))) for side in ("g", "b") for x in (BAD, ABSTAIN, GOOD)]
     row = [float(x or 0.0) for x in weighed.agg(*sums).first()]
-    share = lambda at, total: tuple((x + 1.0) / (total + 3.0) for x in row[at : at + 3])
-    return Weights(
-        (row[0] + 1.0) / (row[0] + row[1] + 2.0),
-        tuple(share(2 + 6 * i, row[0]) for i in range(rules)),
-        tuple(share(5 + 6 * i, row[1]) for i in range(rules)),
-    )
+    share = lambda at, total, prior: tuple((x + p) / (total + sum(prior)) for x, p in zip(row[at : at + 3], prior))
+    on_bad = [share(5 + 6 * i, row[1], PRIOR_BAD) for i in range(rules)]
+    on_good = [_trusted(share(2 + 6 * i, row[0], PRIOR_GOOD), b) for i, b in enumerate(on_bad)]
+    return Weights((row[0] + 1.0) / (row[0] + row[1] + 2.0), tuple(on_good), tuple(on_bad))
+
+
+def _trusted(good: tuple[float, ...], bad: tuple[float, ...]) -> tuple[float, ...]:
+    """Outcome shares on good texts with the share of bad votes held to ``LEAST_RATIO``."""
+    held = min(good[0], bad[0] / LEAST_RATIO)
+    rest = (1.0 - held) / (good[1] + good[2])
+    return held, good[1] * rest, good[2] * rest

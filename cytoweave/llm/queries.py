@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +43,34 @@ def ids_crc32(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([zlib.crc32(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, n - 199)) AS r(i)),
+hit AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+cut AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS c FROM hit),
+num AS (SELECT doc_id, i, sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM num GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+        UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS t FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+per AS (SELECT doc_id, sum(b - a)::BIGINT AS r, count(*) AS s FROM span GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10_SQL = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, w[i + 1 : i + 13] AS k, len(w[i + 1 : i + 13]) AS m FROM b, unnest(range(0, greatest(len(w) - 12, least(len(w), 1)))) AS r(i)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, i, m, w[i + 1 : i + m] AS k FROM d, (SELECT DISTINCT m FROM bw) AS s(m), unnest(range(0, len(w) - m + 1)) AS r(i)),
+hit AS (SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw ON dw.k = bw.k),
+word AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT DISTINCT doc_id, i, m FROM hit), unnest(range(0, m)) AS r(j)),
+per AS (SELECT doc_id, count(*) AS n FROM word GROUP BY 1),
+ids AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(per.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256,
+       coalesce(per.n, 0) > 0 AND 20 * coalesce(per.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
 @query("op2_token_files")
 def op2_token_files(spark, sf_dir):
     path = scratch_path(spark, "tokens")
@@ -66,7 +93,7 @@ def op8_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", "language.lang_pred", "language.score")
 
 
-@query("op10_decontaminate")
+@query("op10_decontaminate", OP10_SQL)
 def op10_decontaminate(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.mark(docs, read_table(spark, sf_dir, "benchmark"))
@@ -133,7 +160,7 @@ def op3_fuzzy_line_dedup(spark, sf_dir):
     )
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", OP1_SQL)
 def op1_substring_dedup(spark, sf_dir):
     found = substrings.deduplicate(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     r = F.col("deduplicated")
