@@ -33,7 +33,7 @@ DISTANCE = 3
 BLOCKS = 5
 TILE = 4096
 FAN_OUT = 8
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 1 << 17
 LINKS = "a bigint, b bigint"
 
@@ -102,7 +102,7 @@ class Index:
             return
         roots = np.arange(len(self.levels[-1][0]))
         todo = [(len(self.levels), roots, roots)]
-        while todo:
+        while todo:  # depth first, so few pairs are held at a time
             level, a, b = todo.pop()
             if level == 0:
                 near = np.bitwise_count(self.codes[a] ^ self.codes[b]) <= distance
@@ -112,23 +112,23 @@ class Index:
             bounds, mask, pattern, child = self.levels[level - 1]
             shared = mask[a] & mask[b]
             differ = np.bitwise_count((pattern[a] ^ pattern[b]) & shared)
-            free = np.bitwise_count(~shared)
-            whole = (differ + free <= distance) & (not every)
+            whole = (differ + np.bitwise_count(~shared) <= distance) & (not every)
             if whole.any():
                 yield from self._join(level, a[whole], b[whole])
             go = (differ <= distance) & ~whole
             a, b = a[go], b[go]
             stop = np.append(child[1:], self.sizes[level - 1])
             count_a, count_b = stop[a] - child[a], stop[b] - child[b]
-            size = count_a * count_b
-            for part in self._parts(size, at_once):
-                na, nb = count_a[part], count_b[part]
-                pair = np.repeat(np.arange(len(na)), na * nb)
-                inside = expand(np.zeros(len(na), dtype=np.int64), na * nb)
-                left = child[a[part]][pair] + inside // nb[pair]
-                right = child[b[part]][pair] + inside % nb[pair]
-                once = (a[part] != b[part])[pair] | (left <= right)
-                todo.append((level - 1, left[once], right[once]))
+            parts = self._parts(count_a * count_b, at_once)
+            if len(parts) > 1:
+                todo += [(level, a[part], b[part]) for part in parts]
+                continue
+            pair = np.repeat(np.arange(len(a)), count_a * count_b)
+            inside = expand(np.zeros(len(a), dtype=np.int64), count_a * count_b)
+            left = child[a][pair] + inside // count_b[pair]
+            right = child[b][pair] + inside % count_b[pair]
+            once = (a != b)[pair] | (left <= right)
+            todo.append((level - 1, left[once], right[once]))
 
     @staticmethod
     def _parts(size: np.ndarray, at_once: int) -> list[np.ndarray]:
@@ -162,15 +162,24 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
+def bucket_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
+    """The bits that must agree, for each choice of ``blocks - distance`` blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    return [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
+
+
+def first_bucket(differ: np.ndarray, distance: int = DISTANCE, blocks: int = BLOCKS) -> np.ndarray:
+    """Number of the first bucket that two codes share, from the bits in which they differ."""
+    first = np.full(len(differ), -1)
+    for number, mask in enumerate(bucket_masks(blocks, distance)):
+        first[(first < 0) & (differ & np.uint64(mask) == 0)] = number
+    return first
+
+
 def _bucket_columns(code: str, blocks: int, distance: int):
     """One struct(no, key) for each choice of blocks that must agree."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    out = []
-    for number, chosen in enumerate(combinations(range(blocks), blocks - distance)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        out.append(F.struct(F.lit(number).alias("no"), F.col(code).bitwiseAND(F.lit(signed)).alias("key")))
-    return F.explode(F.array(*out))
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in bucket_masks(blocks, distance)]
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("no"), F.col(code).bitwiseAND(F.lit(m)).alias("key")) for n, m in enumerate(signed)]))
 
 
 def meet(rows: DataFrame, code: str, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
@@ -180,9 +189,13 @@ def meet(rows: DataFrame, code: str, distance: int = DISTANCE, blocks: int = BLO
     a pair of tiles (``low``, ``high``) of a bucket.  Rows alone in all their buckets are gone.
     """
     cut = rows.withColumn("_k", _bucket_columns(code, blocks, distance)).select("_k.no", "_k.key", *rows.columns)
-    sizes = cut.groupBy("no", "key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_tiles", F.ceil(F.col("_n") / tile).cast("int"))
+    sizes = cut.groupBy("no", "key").agg(F.count("*").alias("_n")).withColumn("_tiles", F.ceil(F.col("_n") / tile).cast("int"))
+    if blocks - distance == 1:  # wide buckets: hardly any row is alone, so only the few large ones are looked up
+        met = cut.join(sizes.where(F.col("_n") > tile), ["no", "key"], "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    else:
+        met = cut.join(sizes.where("_n > 1"), ["no", "key"])
     salt = F.pmod(F.xxhash64(*rows.columns), F.col("_tiles")).cast("int")
-    met = cut.join(sizes, ["no", "key"]).select("no", "key", *rows.columns, salt.alias("_s"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"))
+    met = met.select("no", "key", *rows.columns, salt.alias("_s"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"))
     units = met.select("no", "key", F.least("_s", "_t").alias("low"), F.greatest("_s", "_t").alias("high"), *rows.columns)
     return units.repartition("no", "key", "low", "high").sortWithinPartitions("no", "key", "low", "high")
 
@@ -235,7 +248,7 @@ def groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, block
     """
     marked = cut_lineage(fingerprints(docs.select("doc_id", "text"), size).select("doc_id", "fingerprint"))
     distinct = cut_lineage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    links = near_links(distinct.select("fingerprint"), distance, blocks, tile)
+    links = cut_lineage(near_links(distinct.select("fingerprint"), distance, blocks, tile))
     reached = components(links)  # only fingerprints with links
     tagged = distinct.join(reached.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     tagged = cut_lineage(tagged.select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component")))
