@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from cytoweave.llm import lines
+from cytoweave.llm import queries as Q
 from cytoweave.llm.lines import Lines, similar
 
 
@@ -13,9 +14,9 @@ def dropped(spark, rows):
     return {r["doc_id"]: r["dropped_lines"] for r in found}
 
 
-def test_lines_meet_by_edit_similarity_alone(texts):
+def test_op3_by_edit_similarity_alone(spark, small, texts):
     split = Lines(pa.array([t or "" for _, t in texts]))
-    joined = sorted({t.decode() for t in split.texts(np.flatnonzero(split.n_words >= 5))}, key=len)
+    joined = sorted({t.decode() for t in split.texts(np.flatnonzero(split.n_words > 0))}, key=len)
     size = np.array([len(t) for t in joined])
     letters = np.array([np.bincount(np.frombuffer(t.encode("utf-32le"), np.uint32) % 64, minlength=64) for t in joined], dtype=np.int32)
     keys = [set(k.tolist()) for k in lines.meeting_keys([t.encode() for t in joined], size)]
@@ -28,6 +29,33 @@ def test_lines_meet_by_edit_similarity_alone(texts):
     met = sum(bool(keys[i] & keys[j]) for i, j in pairs)
     print(f"recall {met}/{len(pairs)}")
     assert pairs and met >= 0.99 * len(pairs)
+    near = {}
+    for i, j in pairs:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    group = {}
+    for i in range(len(joined)):
+        todo = [i] if i not in group else []
+        while todo:
+            at = todo.pop()
+            if at not in group:
+                group[at] = i
+                todo += near.get(at, ())
+    number, seen, gone = {t: i for i, t in enumerate(joined)}, set(), {}
+    for i, t in enumerate(split.texts(np.arange(len(split.row)))):
+        if t:
+            g = group[number[t.decode()]]
+            if g in seen:
+                gone.setdefault(texts[split.row[i]][0], []).append(int(split.line_no[i]))
+            seen.add(g)
+    got = {r["doc_id"]: r["dropped_lines"] for r in Q.QUERIES["op3_fuzzy_line_dedup"](spark, small).collect()}
+    assert got == {d: ",".join(map(str, gone.get(d, []))) for d, _ in texts}
+
+
+def test_short_and_unspaced_lines_take_part(spark):
+    chinese = "本网站使用必要的技术来保存您的设置并统计访问次数请在继续之前阅读我们的说明"
+    rows = [(1, f"Yes indeed\n{chinese}\n\n---"), (2, f"yes, indeed!\n{chinese[:10]}也{chinese[10:]}\n\n---"), (3, "Yes\nNo")]
+    assert dropped(spark, rows) == {1: [], 2: [0, 1], 3: []}
 
 
 def test_a_line_with_one_word_more_or_replaced_is_found(spark):
