@@ -24,13 +24,17 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import cut_lineage
-from .common import as_bytes, expand, record_batch
+from . import sieve
+from .common import as_bytes, expand, map_text, record_batch
 from .words import spaced_words
 
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 BLOCKS = 5
+# sets of a Jaccard similarity of 0.8 share one of these keys but for one pair in 90,000
+SHINGLES_PER_KEY = 3
+SHINGLE_KEYS = 16
 TILE = 4096
 FAN_OUT = 8
 PAIRS_AT_ONCE = 1 << 18
@@ -255,3 +259,61 @@ def groups(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, block
     lowest = tagged.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_code = tagged.join(lowest, "component").select("fingerprint", "component_id")
     return marked.join(by_code, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def shingles(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted different hashes of the runs of ``size`` words (of all words, if there are fewer)."""
+    runs = [b" ".join(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(r, SEED) for r in runs], dtype=np.uint64))
+
+
+def shingle_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, hash, component_id``: one row per row of ``docs(doc_id, text)``, grouped by Jaccard similarity of shingles.
+
+    Texts with equal sets of shingles are folded (those without words are one set); others meet by keys of
+    ``SHINGLES_PER_KEY`` smallest shingle hashes, and a link is proven by the sets themselves.
+    ``component_id`` is as in ``groups``.
+    """
+    from .alike import links, min_keys
+
+    schema = "doc_id bigint, hash bigint, size int, keys array<bigint>"
+
+    def sets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        found = [shingles(spaced_words(t), size) for t in as_bytes(texts)]
+        return found, np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
+
+    def mark(batch: pa.RecordBatch):
+        found, hashes = sets(batch.column(1))
+        sizes = np.array([len(s) for s in found])
+        full, keys = np.flatnonzero(sizes), [[] for _ in found]
+        if len(full):
+            for i, k in zip(full, min_keys(np.concatenate(found), sizes[full], SHINGLES_PER_KEY, SHINGLE_KEYS, SEED)):
+                keys[i] = np.unique(k)
+        yield record_batch(schema, [batch.column(0), hashes, sizes.astype(np.int32), keys])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = cut_lineage(map_text(rows, "text", mark, schema))
+    distinct = cut_lineage(marked.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+
+    def held(wanted: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(sieve.build(wanted, "hash"))
+
+        def read(batch: pa.RecordBatch):
+            found, hashes = sets(batch.column(0))
+            some = np.flatnonzero(shared.value.passes(hashes))
+            yield record_batch("hash bigint, held binary", [hashes[some], [found[i].tobytes() for i in some]])
+
+        found = map_text(rows.select("text"), "text", read, "hash bigint, held binary")
+        return found.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("held").alias("held"))
+
+    def proof(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+    reached = components(cut_lineage(links(distinct.select("hash", "size", "keys"), held, proof, similarity)))
+    tagged = distinct.select("hash", "first_id").join(reached.withColumnRenamed("node", "hash"), "hash", "left")
+    tagged = cut_lineage(tagged.select("hash", "first_id", F.coalesce("component", "hash").alias("component")))
+    lowest = tagged.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_set = tagged.join(lowest, "component").select("hash", "component_id")
+    return marked.select("doc_id", "hash").join(by_set, "hash").select("doc_id", "hash", "component_id")

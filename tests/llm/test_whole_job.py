@@ -71,3 +71,30 @@ def test_tiles_change_nothing(spark, monkeypatch, tile):
     monkeypatch.setattr(lines, "links", lambda *a: alike.links(*a, tile=tile))
     rows = [(i, f"0 0 0 0 {10 + i}") for i in range(30)] + [(99, "something else with five words")]
     assert dropped(spark, rows) == {i: [0] if 0 < i < 99 else [] for i, _ in rows}
+
+
+def test_pipeline_groups_by_shingles(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: frozenset(tuple(w[i : i + 5]) for w in [(r["text"] or "").encode().lower().split()] for i in range(max(len(w) - 4, min(len(w), 1)))) for r in docs.collect()}
+    ids, holders, pairs = sorted(sets), {}, {}
+    for i in ids:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    for held in holders.values():
+        for n, b in enumerate(held):
+            for a in held[:n]:
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    pairs |= {(a, b): 0 for n, b in enumerate(ids) if not sets[b] for a in ids[:n] if not sets[a]}
+    pairs = [(a, b) for (a, b), both in pairs.items() if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9]
+    assert sum(sets[a] != sets[b] for a, b in pairs) >= 12
+    group = {i: i for i in ids}
+    for _ in ids:
+        before = dict(group)
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    kept = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in ids if group[i] == i]
