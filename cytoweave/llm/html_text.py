@@ -5,8 +5,8 @@ repeated group.  The streams of one host are aligned one after the other into a
 expression: what both have stays, a group that one lacks becomes optional, a group that one
 repeats becomes repeated, and texts become slots.  A slot whose text never changes is part of
 the template.  The wrapper's main region is the innermost element that holds nearly all other
-text outside menus, headers, footers, adverts, forms and comments; its slots, in page order,
-are the page's text.
+text outside menus, headers, footers, adverts, forms and comments, or the article around it; its
+slots and all others that change, in page order, are the page's text.
 
 Pages of a host are many, their different streams few: streams are folded and counted before
 they are aligned, and aligned in salted parts before the parts are.
@@ -259,7 +259,10 @@ def region(stats: list[tuple[str, int, int, bool]], wrapper: list) -> tuple[str,
         return "", constant
     total, containers = weight[""], _containers(wrapper)
     whole = [p for p, w in weight.items() if w >= REGION_SHARE * total and (p == "" or p in containers)]
-    return max(whole, key=lambda p: (p.count("/") + bool(p), p)), constant
+    deepest = max(whole, key=lambda p: (p.count("/") + bool(p), p)).split("/")
+    # all of an article belongs to it, also a title beside the element that holds its body
+    outer = next((k for k, name in enumerate(deepest, 1) if name in ("article", "main")), len(deepest))
+    return "/".join(deepest[:outer]), constant
 
 
 def _containers(wrapper: list) -> set[str]:
@@ -293,13 +296,12 @@ def _containers(wrapper: list) -> set[str]:
 
 
 def main_text(page: str, rule: tuple[str, list[str]] | None) -> str:
-    """Blocks of the host's main region, or of all that is no boilerplate where the page has no such region."""
+    """Blocks of the host's main region, and all other text that is neither boilerplate nor template."""
     _, found = blocks(page)
     good = [(path, text) for path, text in found if "!" not in path]
     if rule:
         where, constant = rule
-        here = [(p, t) for p, t in good if not where or p == where or p.startswith(f"{where}/")]
-        good = here or [(p, t) for p, t in good if p not in constant]
+        good = [(p, t) for p, t in good if not where or p == where or p.startswith(f"{where}/") or p not in constant]
     else:
         for mark in ("article", "main"):
             here = [(p, t) for p, t in good if mark in p.split("/")]

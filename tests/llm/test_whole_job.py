@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cytoweave.llm import lines
+from cytoweave.llm import html_text, lines
 from cytoweave.llm import queries as Q
 from cytoweave.llm.lines import Lines, similar
 
@@ -98,3 +98,18 @@ def test_pipeline_groups_by_shingles(spark):
             break
     kept = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in ids if group[i] == i]
+
+
+def page_texts(spark, pages):
+    frame = spark.createDataFrame([(i, "http://a.b/x", h) for i, h in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r["text"] for r in sorted(html_text.extract(frame).collect(), key=lambda r: r["page_id"])]
+
+
+BODY = "".join(f"<p>Sentence {{0}} of part {k} tells what has come to pass.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("shape", ["<article><h1>Title {0}</h1><div>{1}</div></article>", "<div><h1>Title {0}</h1><div>{1}</div></div>", "<h1>Title {0}</h1><article><div>{1}</div></article>"])
+def test_a_title_beside_the_body_stays(spark, shape):
+    pages = [f"<body><nav>Home</nav>{shape.format(i, BODY.format(i))}<div>About us</div></body>" for i in range(5)]
+    for i, text in enumerate(page_texts(spark, pages)):
+        assert text.split("\n") == [f"Title {i}", *(f"Sentence {i} of part {k} tells what has come to pass." for k in range(6))]
