@@ -40,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = "script|style|noscript|template|svg|textarea|iframe|select|button"
 DROPPED = frozenset("head nav header footer aside form menu dialog fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+# never boilerplate by their names
+FRAME = frozenset("html body main article".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice popup promo related search share sidebar skip social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
 )
@@ -55,11 +57,12 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
     """The stream of block tags and slots (``#``), and ``(path, text)`` of every slot in page order.
 
     Elements that are open at the end, or closed by a later tag, are closed in the stream.  A path
-    lists the open block elements; one that is boilerplate by its kind or names has a ``!``.
+    lists the open block elements; one that is boilerplate by its kind or names has a ``!``.  Names
+    alone do not mark the elements of a page's frame, see ``_unmarked``.
     """
     stream: list[str] = []
-    found: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
+    found: list[tuple[list[tuple[str, bool, int]], str]] = []
+    stack: list[tuple[str, bool, int]] = []  # kind, boilerplate by kind, number if by names only (else 0)
     held: list[str] = []
 
     def flush() -> None:
@@ -67,13 +70,13 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
         held.clear()
         if text:
             stream.append("#")
-            found.append(("/".join(label for _, label in stack), text))
+            found.append((stack[:], text))
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             stream.append(f"</{stack.pop()[0]}>")
 
-    at = 0
+    at = named = 0
     for tag in MARKUP.finditer(page):
         held.append(page[at : tag.start()])
         at = tag.end()
@@ -85,7 +88,7 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
                 held.append(" ")
             continue
         flush()
-        names = [n for n, _ in stack]
+        names = [n for n, _, _ in stack]
         if tag[0].startswith("</"):
             if name in names:
                 close(len(names) - 1 - names[::-1].index(name))
@@ -98,13 +101,32 @@ def blocks(page: str) -> tuple[list[str], list[tuple[str, str]]]:
             close(len(stack) - 1)
         words = {w for m in ATTRIBUTE.finditer(tag[3] or tag[5] or "") for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower())}
         inside = any(n in ("article", "main") for n in names)
-        bad = (name in DROPPED and not (name == "header" and inside)) or bool(words & BOILERPLATE_WORDS)
-        stack.append((name, f"{name}!" if bad else name))
+        bad = name in DROPPED and not (name == "header" and inside)
+        named += (by_name := not bad and name not in FRAME and bool(words & BOILERPLATE_WORDS))
+        stack.append((name, bad, named if by_name else 0))
         stream.append(f"<{name}>")
     held.append(page[at:])
     flush()
     close(0)
-    return stream, found
+    free = _unmarked(found) if named else set()
+    return stream, [("/".join(f"{n}!" if bad or (no and no not in free) else n for n, bad, no in path), text) for path, text in found]
+
+
+def _unmarked(found: list[tuple[list[tuple[str, bool, int]], str]]) -> set[int]:
+    """Numbers of elements that names mark wrongly: outermost first, those that hold more than half of the text
+    while no article or main is left outside marked ones; all, if else no text is left.
+    """
+    slots = [({no for _, _, no in path if no}, any(n in ("article", "main") for n, _, _ in path), len(text)) for path, text in found if not any(bad for _, bad, _ in path)]
+    held: dict[int, int] = {}
+    for marks, _, size in slots:
+        for no in marks:
+            held[no] = held.get(no, 0) + size
+    total, free = sum(size for _, _, size in slots), set()
+    for no in sorted(n for n, size in held.items() if 2 * size > total):
+        if any(main and marks <= free for marks, main, _ in slots):
+            break
+        free.add(no)
+    return free if any(marks <= free for marks, _, _ in slots) else set(held)
 
 
 # --- union-free expressions: items are tags, "#", ["+", items] or ["?", items] ----------------------------------

@@ -113,3 +113,17 @@ def test_a_title_beside_the_body_stays(spark, shape):
     pages = [f"<body><nav>Home</nav>{shape.format(i, BODY.format(i))}<div>About us</div></body>" for i in range(5)]
     for i, text in enumerate(page_texts(spark, pages)):
         assert text.split("\n") == [f"Title {i}", *(f"Sentence {i} of part {k} tells what has come to pass." for k in range(6))]
+
+
+@pytest.mark.parametrize("frame", ['<body class="has-sidebar">{}</body>', '<body><div id="page" class="with-nav">{}</div></body>', '<body><article class="post comments-open">{}</article></body>', '<body><div class="share-enabled"><article>{}</article></div></body>'])
+def test_names_do_not_mark_the_frame(spark, frame):
+    other = '<div class="sidebar">Other {0}</div><div class="comments">' + "<p>Reader {0} says a little.</p>" * 2 + "</div>"
+    pages = [frame.format(f"<nav>Home</nav><h1>Title {i}</h1>{BODY.format(i)}{other.format(i)}") for i in range(4)]
+    for i, text in enumerate(page_texts(spark, pages)):
+        assert text.split("\n") == [f"Title {i}", *(f"Sentence {i} of part {k} tells what has come to pass." for k in range(6))]
+
+
+def test_long_comments_stay_marked():
+    page = "<body><article><p>Short text.</p></article><div class=comments>" + "<p>Many words of readers about it.</p>" * 9 + "</div></body>"
+    assert html_text.main_text(page, None) == "Short text."
+    assert html_text.main_text("<body><div class=share><p>All there is.</p></div></body>", None) == "All there is."
