@@ -12,10 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import sieve
 from .common import expand, mixed, record_batch
 from .simhash import whole_units
 
@@ -46,9 +48,26 @@ def min_keys(values: np.ndarray, counts: np.ndarray, rows: int, bands: int, seed
 
 
 def units(things: DataFrame, tile: int = TILE) -> DataFrame:
-    """``no, key, low, high, own, hash``: things that share a key, by pairs of tiles of its bucket; ``own`` is the thing's tile."""
-    cut = things.select(F.explode("keys").alias("key"), "hash")
-    sizes = cut.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles"))
+    """``no, key, low, high, own, hash``: things that share a key, by pairs of tiles of its bucket; ``own`` is the thing's tile.
+
+    Of buckets with the same members one is taken: most pairs share many keys.
+    """
+    # one exchange: repeats of a thing go, and buckets are counted, where their key is
+    met = things.select(F.explode("keys").alias("key"), "hash").repartition("key").dropDuplicates(["key", "hash"])
+    members = F.bit_xor(F.xxhash64("hash", F.lit(1)))
+    sizes = met.groupBy("key").agg(F.count("*").alias("_n"), members.alias("_x"), F.min("hash").alias("_m")).where("_n > 1")
+    sizes = cut_lineage(sizes.groupBy("_n", "_x", "_m").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles")))
+    shared = things.sparkSession.sparkContext.broadcast(sieve.build(sizes, "key"))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1)
+            flat = keys.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(keys), 0).to_numpy())
+            take = np.flatnonzero(shared.value.passes(flat))
+            yield record_batch("hash bigint, key bigint", [batch.column(0).take(pa.array(owner[take])), flat[take]])
+
+    cut = things.select("hash", "keys").mapInArrow(some, "hash bigint, key bigint").distinct()
     own = F.pmod(F.xxhash64("hash"), F.col("_tiles")).cast("int")
     met = cut.join(sizes, "key").select("key", "hash", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"))
     return met.select(F.lit(0).alias("no"), "key", F.least("own", "_t").alias("low"), F.greatest("own", "_t").alias("high"), "own", "hash")
@@ -57,19 +76,19 @@ def units(things: DataFrame, tile: int = TILE) -> DataFrame:
 def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Callable[[bytes, bytes], bool], similarity: float, tile: int = TILE) -> DataFrame:
     """``(a, b)`` over hashes: proven links that connect all that share a key and pass ``proof``.
 
-    ``things(hash, size, keys)`` has one row for each hash; ``held`` gives ``hash, held`` (binary) for a table
-    of hashes.  Sizes that differ by more than ``1 - similarity`` of the larger are never alike.
+    ``things(hash, size, keys)`` may repeat a hash; ``held`` gives ``hash, held`` (binary) for a table of
+    hashes.  Sizes that differ by more than ``1 - similarity`` of the larger are never alike.
     """
     dealt = cut_lineage(units(things, tile))
     wanted = cut_lineage(dealt.select("hash").distinct())
-    full = things.join(held(wanted), "hash").select("hash", "size", "keys", "held")
-    dealt = dealt.join(full, "hash").select("no", "key", "low", "high", "own", "hash", "size", "keys", "held")
+    sizes = things.select("hash", "size").join(wanted, "hash", "left_semi").distinct()
+    dealt = dealt.join(sizes.join(held(wanted), "hash"), "hash").select("no", "key", "low", "high", "own", "hash", "size", "held")
     dealt = dealt.repartition("no", "key", "low", "high").sortWithinPartitions("no", "key", "low", "high")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, table in whole_units(batches):
-            key, low, high, own, hashes, size = (table.column(c).to_numpy() for c in ("key", "low", "high", "own", "hash", "size"))
-            keys, text = table.column("keys").combine_chunks(), table.column("held").combine_chunks()
+            low, high, own, hashes, size = (table.column(c).to_numpy() for c in ("low", "high", "own", "hash", "size"))
+            text = table.column("held").combine_chunks()
             parent = list(range(len(hashes)))
 
             def root(i: int) -> int:
@@ -86,8 +105,7 @@ def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Call
                 go = (label[a] != label[b]) & (np.abs(size[a] - size[b]) <= (1.0 - similarity) * longer + 1e-9) & ((low[a] == high[a]) | (own[a] != own[b]))
                 for i, j in zip(a[go].tolist(), b[go].tolist()):
                     x, y = root(i), root(j)
-                    # a pair is proven under the smallest key that it shares
-                    if x != y and np.intersect1d(keys[i].values, keys[j].values)[0] == key[i] and proof(text[i].as_py(), text[j].as_py()):
+                    if x != y and proof(text[i].as_py(), text[j].as_py()):
                         parent[max(x, y)] = min(x, y)
                 if go.any():
                     at = expand(first, count)
