@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, scratch_path
-from . import decontaminate, html_text, language, license_scan, lines, packing, quality, simhash, substrings, token_files
+from . import decontaminate, fill_middle, html_text, language, license_scan, lines, near_vectors, packing, quality, simhash, source_audit, substrings, token_files
 from .common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,45 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(per.n, 0) AS n_hit, coalesce(
        coalesce(per.n, 0) > 0 AND 20 * coalesce(per.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN per USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT *, ('0x' || substr(x, 1, 8))::BIGINT % (n + 1) AS h1, ('0x' || substr(x, 9, 8))::BIGINT % (n + 1) AS h2,
+      ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+p AS (SELECT *, least(h1, h2) AS a, greatest(h1, h2) AS b, CASE
+        WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c"""
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM (SELECT DISTINCT r, lang, term FROM t) GROUP BY 1, 2 HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY 1, 2, 3),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN k ON k.lang = g.lang
+         LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (SELECT lang, term, sum(n) AS n FROM cell GROUP BY 1, 2),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p FROM cell WINDOW g AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER l + 5 * count(*) OVER l) AS q FROM whole WINDOW l AS (PARTITION BY lang)),
+s AS (SELECT DISTINCT lang, source FROM d),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+          FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3),
+terms AS (SELECT lang, source, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every) WHERE part = 'pair' OR rank <= 50"""
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+near AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT n.a, l.b FROM near n JOIN l ON l.a = n.b),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM near GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM low LEFT JOIN n USING (vec_id)"""
+
 
 @query("op2_token_files")
 def op2_token_files(spark, sf_dir):
@@ -177,3 +216,19 @@ def op1_substring_dedup(spark, sf_dir):
 def op5_html_text(spark, sf_dir):
     found = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op11_fill_middle", OP11_SQL)
+def op11_fill_middle(spark, sf_dir):
+    found = fill_middle.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_output=False)
+    return found.select("doc_id", *[f"fim.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")])
+
+
+@query("op12_source_audit", OP12_SQL)
+def op12_source_audit(spark, sf_dir):
+    return source_audit.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_near_vectors", OP13_SQL)
+def op13_near_vectors(spark, sf_dir):
+    return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
