@@ -14,6 +14,7 @@ pieces back into the order of the text, which streams into the second digest.
 from __future__ import annotations
 
 import hashlib
+import math
 import pickle
 from collections.abc import Iterator
 from itertools import groupby
@@ -27,6 +28,7 @@ from ..session import ship_package
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 CHUNK = 1 << 16  # code points of a piece
+SORTED_BYTES = 64 << 20  # text that one task sorts
 HEAD, TAIL = -1, 1 << 62  # places before and after all pieces of a row
 RESULT = T.StructType(
     [
@@ -189,14 +191,15 @@ def transform(
     Every input row gives one row; a column of the input called ``fim`` gives way to the result.  Null text counts as
     empty; empty texts are ``plain`` with an empty output.  A null id draws from the empty id.  Rows that share an id share
     its draws, each with its own text; equal rows come back as often as they came in.  ``keep_output=False`` leaves ``output`` null,
-    and then no output text is ever whole in a task.  ``partitions`` (default: what the session shuffles to, at least two per
-    input partition) does not change the result; the sort spills, so a partition may be larger than memory.
+    and then no output text is ever whole in a task.  ``partitions`` (default: what the session shuffles to, or
+    as many as keep a sort near ``SORTED_BYTES``) does not change the result; the sort spills, so a partition may be larger than memory.
     """
     ship_package(docs.sparkSession)
     others = [f for f in docs.schema.fields if f.name not in (text_col, "fim")]
     source = docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(text_col), F.col(id_col).cast("string")).rdd
     if partitions is None:
-        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * source.getNumPartitions())
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SORTED_BYTES))
     n_ids = len(others)
     bucket = lambda key: key[0]
     pieces = source.mapPartitions(lambda rows: emit(rows, n_ids, chunk, plain_share, spm_share))
