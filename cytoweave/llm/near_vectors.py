@@ -294,15 +294,22 @@ def _compare(threshold: float):
     return run
 
 
-def count_links(members: DataFrame, threshold: float, rows_per_tile: int = ROWS_PER_TILE, tiles_per_pack: int = TILES_PER_PACK) -> DataFrame:
-    """``(node, n)`` for ``members(component, node, copies, vec)``: rows linked with each vector inside its component, itself and its copies counted.
+def deal_tiles(found: DataFrame, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """``found(node, component)`` with ``tiles``, how many its component is cut into, and ``tile``, the one this node is in.
+
+    Done before vectors are joined on the node, so that they go straight to (component, tile) and no component is a key of theirs.
+    """
+    tiles = found.groupBy("component").agg(F.ceil(F.count("*") / rows_per_tile).alias("tiles"))
+    return found.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+
+
+def count_links(members: DataFrame, threshold: float, tiles_per_pack: int = TILES_PER_PACK) -> DataFrame:
+    """``(node, n)`` for ``members(component, tile, tiles, node, copies, vec)``: rows linked with each vector inside its component, itself and its copies counted.
 
     Exact.  A tight group of any size is settled by its tiles' summaries; vectors travel only for pairs of tiles that the summaries
     leave open.
     """
-    tiles = members.groupBy("component").agg(F.ceil(F.count("*") / rows_per_tile).alias("tiles"))
-    dealt = members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    packed = cut_lineage(dealt.groupBy("component", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "copies", "vec")).alias("rows")))
+    packed = cut_lineage(members.groupBy("component", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("node", "copies", "vec")).alias("rows")))
     summary = packed.mapInArrow(_summaries, f"component {NODE}, tile bigint, tiles bigint, weight bigint, centre array<double>, radius double")
     pack = F.floor(F.col("tile") / tiles_per_pack)
     packs = summary.groupBy("component", pack.alias("pack")).agg(F.floor((F.first("tiles") - 1) / tiles_per_pack).alias("last"), F.collect_list(F.struct("tile", "weight", "centre", "radius")).alias("left"))
@@ -355,10 +362,12 @@ def near_duplicates(
     if passes is None:
         largest = folded.groupBy("grp").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         passes = passes_for(largest, threshold, window, recall)
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # windows that reach over many partitions are only work done twice
+    partitions = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), folded.count() // (4 * window) + 1)
     found = components(window_edges(folded.select("node", "grp", "vec"), threshold, passes, window, partitions, seed))
-    members = cut_lineage(found.join(folded, "node").select("component", "node", "copies", "low", "vec"))
-    linked = count_links(members.select("component", "node", "copies", "vec"), threshold)
+    dealt = cut_lineage(deal_tiles(found))
+    members = cut_lineage(dealt.join(folded, "node").select("component", "tile", "tiles", "node", "copies", "low", "vec"))
+    linked = count_links(members.drop("low"), threshold)
     lowest = members.groupBy("component").agg(F.min("low").alias("lowest"))
     known = members.select("component", "node").join(linked, "node").join(lowest, "component").select("node", "n", "lowest")
     g, h, v, low, n = (free_name(rows, c) for c in ("_g", "_h", "_v", "_low", "_n"))

@@ -185,7 +185,8 @@ def test_near_vectors_tiles_and_packs(spark):
     rows = [r for r in dense_rows() if r[0] is not None and r[0] < 9000]
     units = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows[:270]}
     frame = spark.createDataFrame([((0, 0), (i, 0), 1 + i % 3, u.tolist()) for i, u in units.items()], "component struct<id:bigint,h:bigint>, node struct<id:bigint,h:bigint>, copies bigint, vec array<double>")
-    found = near_vectors.count_links(frame, 0.93, rows_per_tile=8, tiles_per_pack=4)
+    dealt = near_vectors.deal_tiles(frame.select("node", "component"), rows_per_tile=8)
+    found = near_vectors.count_links(dealt.join(frame.drop("component"), "node"), 0.93, tiles_per_pack=4)
     got = {r["node"]["id"]: r["n"] for r in found.collect()}
     assert got == {i: sum(1 + j % 3 for j, v in units.items() if u @ v >= 0.93) for i, u in units.items()}
 
