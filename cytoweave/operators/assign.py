@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vec as V
 from ..functions.rand import uniform
@@ -36,34 +37,94 @@ def soft_weights(scores: DataFrame, epsilon: float = 0.05, out: str = "q") -> Da
     return scores.withColumn(out, F.transform("s", lambda x: F.exp(x / epsilon)))
 
 
+def _lse(m: np.ndarray) -> np.ndarray:
+    """log(sum(exp)) of every row; -inf for a row of -inf."""
+    top = m.max(1, initial=-np.inf)
+    with np.errstate(divide="ignore"):
+        return np.where(np.isfinite(top), top, 0.0) + np.log(np.exp(m - np.where(np.isfinite(top), top, 0.0)[:, None]).sum(1))
+
+
+def _cell_factor(l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Log factor that brings every cell's row to unit mass; 0 for a cell that no prototype can take."""
+    c = -_lse(l + r)
+    return np.where(np.isfinite(c), c, 0.0)
+
+
+def _column_partials(n_by: int):
+    """Per batch and group the maximum over cells of ``l + c`` for each prototype, and the sum of exponentials below it."""
+
+    def run(batches):
+        for batch in batches:
+            l, r = V.matrix(batch.column("_l")), V.matrix(batch.column("_r"))
+            if not len(l):
+                continue
+            v = l + _cell_factor(l, r)[:, None] if r.shape[1] else l
+            code = np.zeros(len(l), dtype=np.int64)
+            for i in range(n_by):
+                own = batch.column(i).dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.diff(code[order], prepend=-1))
+            top = np.maximum.reduceat(v[order], first, axis=0)
+            safe = np.where(np.isfinite(top), top, 0.0)
+            sums = np.add.reduceat(np.exp(v[order] - np.repeat(safe, np.diff(np.append(first, len(v))), axis=0)), first, axis=0)
+            keys = batch.take(pa.array(order[first]))
+            names = batch.schema.names[:n_by]
+            yield pa.RecordBatch.from_arrays([*[keys.column(i) for i in range(n_by)], V.row_lists(safe), V.row_lists(sums)], names=[*names, "m", "s"])
+
+    return run
+
+
 def sinkhorn(
     scores: DataFrame, epsilon: float = 0.05, iterations: int = 3, by: Sequence[str] = (), out: str = "q"
 ) -> DataFrame:
-    """Balanced assignment inside each ``by`` group (all rows when empty).
-
-    Each round scales prototypes to equal mass, then cells to unit mass.  With
-    E = exp((s - max) / epsilon) the matrix stays E * r_k * c_cell, so a round is one
-    pass: per-cell c from the current r, then K partial sums of E * c.  The last
-    step scales cells, so every cell's row sums to 1.  Rounds chain as scalar
-    subqueries (or as a join of one row per group); nothing is collected.  Every
-    third round the prototype factors (K numbers per group) are written out, which
-    keeps long runs from nesting.
+    """Balanced assignment inside each ``by`` group (all rows when empty), in logarithms.
+
+    Each round scales prototypes to equal mass, then cells to unit mass.  With l = s / epsilon the matrix stays
+    exp(l + r_k + c_cell): a round gives every cell its c from the current r and reduces each batch to one
+    maximum and one sum of exponentials per group and prototype; batches meet in a log-sum-exp under the common
+    maximum.  So no range of scores makes a prototype's column vanish or overflow.  The last step
+    scales cells: every cell's row sums to 1.  Scores are computed once; between rounds only K numbers per group are
+    written.  A prototype that no cell can take (all scores -inf) gets nothing, a null key is a group like any other.
     """
     by = list(by)
-    top = scores.agg(F.max(F.array_max("s"))).scalar()
-    base = scores.withColumn("_top", top).withColumn("_e", F.transform("s", lambda x: F.exp((x - F.col("_top")) / epsilon)))
-    base = cut_lineage(base.drop("_top"))  # scores are computed once, whatever the rounds
-    state = base.withColumn("_c", F.lit(1.0))
-    for i in range(iterations):
-        summed = vector_to_array(Summarizer.sum(array_to_vector(F.col("_e")), F.col("_c")))
-        factor = F.transform(summed, lambda w: F.lit(1.0) / (w * F.size(summed)))
-        rows = state.groupBy(*by).agg(factor.alias("_r"))
-        if i % 3 == 2 and i + 1 < iterations:
-            rows = cut_lineage(rows)
-        state = base.join(rows, by) if by else base.withColumn("_r", rows.select("_r").scalar())
-        state = state.withColumn("_c", F.lit(1.0) / _total(F.zip_with("_e", "_r", lambda e, r: e * r)))
-    q = F.transform(F.zip_with("_e", "_r", lambda e, r: e * r), lambda v: v * F.col("_c"))
-    return state.withColumn(out, q).select(*scores.columns, out)
+    base = cut_lineage(scores.withColumn("_l", F.transform("s", lambda x: x / epsilon)))
+    keys = [F.col(f"`{c}`") for c in by]
+    kinds = "".join(f"`{c}` {base.schema[c].dataType.simpleString()}, " for c in by)
+    named = [f"_by{i}" for i in range(len(by))]
+
+    def with_factors(rows: DataFrame | None) -> DataFrame:
+        if rows is None:
+            return base.withColumn("_r", F.array().cast("array<double>"))
+        if not by:
+            return base.withColumn("_r", rows.select("_r").scalar())
+        on = F.lit(True)
+        for c, n in zip(keys, named):
+            on = on & c.eqNullSafe(F.col(n))
+        return base.join(rows, on).drop(*named)
+
+    rows = None
+    for _ in range(iterations):
+        partial = with_factors(rows).select(*keys, "_l", "_r").mapInArrow(_column_partials(len(by)), f"{kinds}m array<double>, s array<double>")
+        each = partial.select(*[c.alias(n) for c, n in zip(keys, named)], F.posexplode(F.arrays_zip("m", "s")).alias("_k", "_e"))
+        each = each.select(*named, "_k", F.col("_e.m").alias("m"), F.when(F.col("_e.s") > 0, F.col("_e.s")).alias("s"))
+        # batches without a finite score of a prototype have no say in its maximum
+        top = F.max(F.when(F.col("s").isNotNull(), F.col("m"))).over(Window.partitionBy(*named, "_k"))
+        summed = each.withColumn("_top", top).groupBy(*named, "_k").agg(F.first("_top").alias("_top"), F.sum(F.col("s") * F.exp(F.col("m") - F.col("_top"))).alias("_s"))
+        factor = F.coalesce(-(F.col("_top") + F.log("_s")), F.lit(float("-inf")))
+        listed = summed.groupBy(*named).agg(F.array_sort(F.collect_list(F.struct("_k", factor.alias("r")))).alias("_f"))
+        rows = cut_lineage(listed.select(*named, F.transform("_f", lambda e: e["r"] - F.log(F.size("_f").cast("double"))).alias("_r")))
+
+    def weights(l: pa.Array, r: pa.Array) -> pa.Array:
+        l, r = V.matrix(l), V.matrix(r)
+        if not len(l):
+            return pa.array([], type=pa.list_(pa.float64()))
+        r = r if r.shape[1] else np.zeros((1, l.shape[1]))
+        c = _cell_factor(l, r) if iterations else np.zeros(len(l))
+        return V.row_lists(np.exp(l + r + c[:, None]))
+
+    q = F.arrow_udf(weights, T.ArrayType(T.DoubleType()))
+    return with_factors(rows).withColumn(out, q("_l", "_r")).select(*[c for c in scores.columns if c != out], out)
 
 
 def hard_assignment(scores: DataFrame, source: str = "s", out: str = "q") -> DataFrame:

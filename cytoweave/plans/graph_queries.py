@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, neighbors, proto
+from ..session import cut_lineage
 from . import tables as t
 from .prototype_queries import WITH_ASSIGNED
 from .registry import query, rounded
@@ -141,6 +142,47 @@ def label_modularity(spark, sf):
     return rounded(graph.modularity(_weighted(spark, sf), members))
 
 
+_TRADE = """trade AS (
+  SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+both_dir AS (SELECT src, dst, sum(w) AS w FROM (SELECT a AS src, b AS dst, w FROM trade UNION ALL SELECT b, a, w FROM trade) GROUP BY ALL)"""
+
+
+def _trade(spark, sf):
+    """Nations linked by the line items that one sells to the other, in both directions."""
+    o, c, li, s = (t.table(spark, sf, name) for name in ("orders", "customer", "lineitem", "supplier"))
+    sold = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    sold = sold.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.count("*").alias("w"))
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    both = sold.select(F.explode(ways).alias("_e"), "w").select(F.col("_e.src").cast("bigint").alias("src"), F.col("_e.dst").cast("bigint").alias("dst"), "w")
+    return cut_lineage(both.groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w")))
+
+
+@query(
+    "community_invariants",
+    "H8",
+    f"""WITH {_TRADE}, tg AS (SELECT x.n_regionkey AS c, w, CASE WHEN x.n_regionkey = y.n_regionkey THEN w ELSE 0 END AS s
+          FROM both_dir JOIN nation x ON x.n_nationkey = src JOIN nation y ON y.n_nationkey = dst),
+        p AS (SELECT c, sum(w) AS k, sum(s) AS i FROM tg GROUP BY 1)
+        SELECT (SELECT count(*) FROM nation) AS n_nodes, 0::BIGINT AS n_disconnected, true AS at_least_regions,
+               round(sum(i / (SELECT sum(w) FROM tg) - (k / (SELECT sum(w) FROM tg)) ** 2), 6) AS region_modularity FROM p""",
+)
+def community_invariants(spark, sf):
+    """What must hold of communities, whatever they are: all nodes, each connected inside, modularity not below the regions'."""
+    nations = t.table(spark, sf, "nation")
+    nodes = nations.select(F.col("n_nationkey").cast("bigint").alias("cell_id"))
+    edges = _trade(spark, sf)
+    found = graph.communities(nodes, edges)
+    parts = graph.connected_parts(found, edges).withColumnRenamed("community", "part")
+    pieces = found.join(parts, "cell_id").groupBy("community").agg(F.countDistinct("part").alias("pieces"), F.count("*").alias("n"))
+    facts = pieces.agg(F.struct(F.sum("n").alias("n_nodes"), F.count(F.when(F.col("pieces") > 1, 1)).alias("n_disconnected"))).scalar()
+    regions = nations.select(F.col("n_nationkey").cast("bigint").alias("cell_id"), F.col("n_regionkey").alias("community"))
+    region = graph.modularity(edges, regions).select(F.col("modularity").alias("region_modularity"))
+    own = graph.modularity(edges, found).select("modularity").scalar()
+    told = region.withColumn("_f", facts).withColumn("at_least_regions", own >= F.col("region_modularity") - 1e-12)
+    return rounded(told.select("_f.n_nodes", "_f.n_disconnected", "at_least_regions", "region_modularity"))
+
+
 def _purity_sql(label: str) -> str:
     return f"""{WITH_ASSIGNED}, c AS (SELECT proto_id AS community, {label}, count(*) AS n FROM assigned GROUP BY 1, 2)
         SELECT community, sum(n)::BIGINT AS size, arg_min({label}, (-n, {label})) AS majority, round(max(n) / sum(n), 6) AS purity,

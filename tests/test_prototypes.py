@@ -69,10 +69,39 @@ def test_sinkhorn_matches_numpy_inside_groups(spark):
         rows = list(range(g, 30, 2))
         want = numpy_sinkhorn(s[rows], 0.05, 3)
         assert np.allclose([got[i] for i in rows], want, atol=1e-9)
-    many = np.array([r["q"] for r in assign.sinkhorn(df, 0.2, 10).collect()])
+    many = np.array([r["q"] for r in assign.sinkhorn(df, 0.2, 8).collect()])
     assert np.allclose(many.sum(1), 1) and np.allclose(many.sum(0), 30 / 4, rtol=2e-2)
 
 
+def log_sinkhorn(s, eps, rounds):
+    lse = lambda m, axis: m.max(axis, keepdims=True) + np.log(np.exp(m - m.max(axis, keepdims=True)).sum(axis, keepdims=True))
+    q = np.array(s) / eps
+    for _ in range(rounds):
+        q = q - lse(q, 0)
+        q = q - lse(q, 1)
+    return np.exp(q)
+
+
+def test_sinkhorn_on_any_range_of_scores(spark):
+    rng = np.random.default_rng(9)
+    wide = rng.normal(size=(60, 3)) * 400.0
+    for rows, rounds in (([[100.0, 0.0], [0.0, 1.0]], 3), ([[100.0, 0.0], [0.0, 1.0]], 9), ([[0.0, -5000.0]] * 3, 3), (wide.tolist(), 5)):
+        df = spark.createDataFrame(list(enumerate(rows)), "cell_id bigint, s array<double>").repartition(3)
+        got = {r["cell_id"]: r["q"] for r in assign.sinkhorn(df, 0.05, rounds).collect()}
+        assert np.allclose([got[i] for i in range(len(rows))], log_sinkhorn(rows, 0.05, rounds), atol=1e-9)
+    # in the limit each of two cells has its own prototype, whatever the gap
+    assert np.allclose(log_sinkhorn([[100.0, 0.0], [0.0, 1.0]], 0.05, 9), np.eye(2))
+
+
+def test_sinkhorn_null_groups_and_impossible_prototypes(spark):
+    rows = [(0, None, [1.0, 2.0]), (1, None, [2.0, 1.0]), (2, "a", [0.5, float("-inf")]), (3, "a", [0.1, float("-inf")])]
+    df = spark.createDataFrame(rows, "cell_id bigint, g string, s array<double>")
+    got = {r["cell_id"]: r["q"] for r in assign.sinkhorn(df, 0.5, 3, by=["g"]).collect()}
+    assert np.allclose([got[0], got[1]], log_sinkhorn([[1.0, 2.0], [2.0, 1.0]], 0.5, 3))
+    assert got[2] == got[3] == [1.0, 0.0]
+    assert assign.sinkhorn(df.limit(0), 0.5, 3, by=["g"]).count() == assign.sinkhorn(df.limit(0)).count() == 0
+
+
 def test_hard_assignment_takes_first_maximum(spark):
     df = spark.createDataFrame([(0, [1.0, 3.0, 3.0])], "cell_id bigint, s array<double>")
     assert assign.hard_assignment(df).first()["q"] == [0.0, 1.0, 0.0]

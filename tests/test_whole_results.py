@@ -111,8 +111,49 @@ def test_communities_are_connected_and_settle(spark):
     frame = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src bigint, dst bigint, w double")
     members = {r["cell_id"]: r["community"] for r in graph.communities(spark.range(12).withColumnRenamed("id", "cell_id"), frame).collect()}
     assert len({members[i] for i in range(6)}) == 1 and len(set(members.values())) == 2
-    with pytest.raises(RuntimeError):
-        graph.communities(spark.range(12).withColumnRenamed("id", "cell_id"), frame, rounds=1)
+
+
+def _pieces(members, edges):
+    """Communities and the number of pieces that each is in, by a plain search."""
+    near = {}
+    for a, b in edges:
+        if members[a] == members[b]:
+            near.setdefault(a, set()).add(b)
+    pieces, seen = {}, set()
+    for node in members:
+        if node not in seen:
+            pieces[members[node]] = pieces.get(members[node], 0) + 1
+            todo = [node]
+            while todo:
+                at = todo.pop()
+                if at not in seen:
+                    seen.add(at)
+                    todo += near.get(at, ())
+    return pieces
+
+
+def test_communities_of_planted_groups(spark):
+    """Five groups with bridges, a hub that holds two of them together, a lone node: connected, and no worse than label moves."""
+    rng = np.random.default_rng(11)
+    pairs = {(a, b) for g in range(5) for a in range(12 * g, 12 * g + 12) for b in range(12 * g, a) if rng.random() < 0.5}
+    pairs |= {(max(a, b), min(a, b)) for a, b in rng.integers(0, 60, (12, 2)).tolist() if a != b}
+    pairs |= {(60, b) for b in range(0, 24, 2)}
+    edges = sorted(pairs | {(b, a) for a, b in pairs})
+    frame = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src bigint, dst bigint, w double")
+    nodes = spark.range(62).withColumnRenamed("id", "cell_id")
+    found = graph.communities(nodes, frame).cache()
+    members = {r["cell_id"]: r["community"] for r in found.collect()}
+    assert len(members) == 62 and set(_pieces(members, edges).values()) == {1} and members[61] == 61
+    assert all(members[c] == c for c in members.values())
+    assert len({members[a] for g in (2, 3, 4) for a in range(12 * g, 12 * g + 12)}) == 3
+    labels = graph.communities(nodes, frame, refine=False)
+    assert graph.modularity(frame, found).first()["modularity"] >= graph.modularity(frame, labels).first()["modularity"] - 1e-9
+
+
+def test_connected_parts_cut_what_is_not_connected(spark):
+    frame = spark.createDataFrame([(a, b, 1.0) for a, b in [(1, 2), (2, 1), (3, 4), (4, 3), (2, 5), (5, 2)]], "src bigint, dst bigint, w double")
+    members = spark.createDataFrame([(1, 9), (2, 9), (3, 9), (4, 9), (5, 8)], "cell_id bigint, community bigint")
+    assert {tuple(r) for r in graph.connected_parts(members, frame).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
 
 
 def test_components_of_a_long_path_and_a_star(spark):
