@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import differential, prep
+from ..operators import differential, prep, principal
 from . import tables as t
 from .registry import query, rounded
 
@@ -175,6 +175,55 @@ def pca_variable_genes(spark, sf):
     return rounded(scores.select("cell_id", F.posexplode("vec").alias("component", "value")), 5)
 
 
+@query(
+    "component_moments",
+    "G12",
+    f"""WITH {t.EVENT_GRID}, mu AS (SELECT gene, avg(x) AS m FROM grid GROUP BY 1), ct AS (SELECT cell_id, gene, x - m AS x FROM grid JOIN mu USING (gene)),
+        cv AS (SELECT a.gene AS g, b.gene AS h, sum(a.x * b.x) / (count(*) - 1) AS c FROM ct a JOIN ct b USING (cell_id) GROUP BY 1, 2),
+        sq AS (SELECT a.g, b.h, sum(a.c * b.c) AS c FROM cv a JOIN cv b ON a.h = b.g GROUP BY 1, 2)
+        SELECT (SELECT count(DISTINCT gene) FROM grid) AS n_components, round(sum(c) FILTER (WHERE g = h), 6) AS total,
+               round(sum(c * c), 6) AS squares, (SELECT round(sum(sq.c * cv.c), 4) FROM sq JOIN cv ON sq.g = cv.g AND sq.h = cv.h) AS cubes FROM cv""",
+)
+def component_moments(spark, sf):
+    """Sums of the first three powers of all component variances; the covariance matrix has the same traces."""
+    counts = t.event_counts(spark, sf)
+    found = principal.principal_components(counts, counts.select("cell_id").distinct(), 64, gene="gene")
+    v = found.variances
+    row = (len(v), *[round(sum(x**p for x in v), digits) for p, digits in ((1, 6), (2, 6), (3, 4))])
+    return spark.createDataFrame([row], "n_components bigint, total double, squares double, cubes double")
+
+
+@query(
+    "component_scores",
+    "G12",
+    f"""{t.WITH_COUNTS}, n AS (SELECT count(*) AS n FROM cells), lg AS (SELECT cell_id, gene_id, ln(1 + x) AS x FROM counts),
+        v AS (SELECT (sum(x * x) - sum(x) ** 2 / (SELECT n FROM n)) / ((SELECT n FROM n) - 1) AS v FROM lg GROUP BY gene_id)
+        SELECT (SELECT n FROM n) AS n_cells, 3::BIGINT AS n_components, (SELECT round(sum(v), 4) FROM v) AS total_variance, true AS orthonormal, true AS captured""",
+)
+def component_scores(spark, sf):
+    """Components of the log counts over all genes: the scores' variances are those of the components, without correlation."""
+    logged = prep.log1p(t.counts(spark, sf))
+    cells = t.count_cells(spark, sf).select("cell_id")
+    found = principal.principal_components(logged, cells, 3, tolerance=1e-6)
+    load = found.loadings.select(*[F.col("loading")[i].alias(f"l{i}") for i in range(3)])
+    dots = load.agg(*[F.sum(F.col(f"l{i}") * F.col(f"l{j}")).alias(f"d{i}{j}") for i in range(3) for j in range(i, 3)])
+    unit = F.lit(True)
+    for i in range(3):
+        for j in range(i, 3):
+            unit = unit & (F.abs(F.col(f"d{i}{j}") - float(i == j)) < 1e-9)
+    scores = found.scores(cells).select(*[F.col("vec")[i].alias(f"s{i}") for i in range(3)])
+    same = F.lit(True)
+    for i, v in enumerate(found.variances):
+        same = same & (F.abs(F.var_samp(f"s{i}") / v - 1) < 1e-9) & (F.abs(F.avg(f"s{i}")) < 1e-6)
+    facts = scores.agg(F.count("*").alias("n_cells"), same.alias("captured"))
+    return rounded(
+        facts.withColumn("orthonormal", dots.select(unit.alias("u")).scalar()).select(
+            "n_cells", F.lit(len(found.variances)).cast("bigint").alias("n_components"), F.lit(found.total_variance).alias("total_variance"), "orthonormal", "captured"
+        ),
+        4,
+    )
+
+
 _STD = f"""{t.WITH_COUNTS}, fc AS (SELECT * FROM counts WHERE cell_id IN (SELECT cell_id FROM counts WHERE x > 0 GROUP BY 1 HAVING count(*) >= 2)),
 fg AS (SELECT * FROM fc WHERE gene_id IN (SELECT gene_id FROM fc WHERE x > 0 GROUP BY 1 HAVING count(*) >= 3)),
 kept AS (SELECT DISTINCT cell_id FROM fg),
