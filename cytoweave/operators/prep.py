@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vec as V
+from ..functions.bounds import MAX_ELEMENTS
 from ..session import cut_lineage
 
 # genes of one block of a dense grid
@@ -117,16 +118,8 @@ def top_variable(scores: DataFrame, n: int, column: str = "disp_norm") -> DataFr
     return scores.where(F.col(column).isNotNull()).orderBy(F.desc(column), "gene_id").limit(n)
 
 
-def stabilised_variance(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Variance of standardised, clipped counts per gene.
-
-    The expected log10 variance is a quadratic in log10 mean (ordinary least squares
-    in closed form) instead of a local regression; counts are clipped at
-    mean + sqrt(n) * expected deviation.  Zeros enter through their number only.
-    Two passes over the counts: moments (written, gene-sized), then clipped sums.
-    """
-    n = _n_cells(cells)
-    m = cut_lineage(gene_moments(counts, cells))
+def _global_fit(m: DataFrame) -> DataFrame:
+    """``m`` with ``_v``, the variance that one quadratic over all genes expects (normal equations in closed form)."""
     fit = m.where((F.col("var") > 0) & (F.col("mean") > 0)).select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
     centre = fit.agg(F.avg("x")).scalar()
     c = fit.withColumn("x", F.col("x") - centre)
@@ -148,7 +141,79 @@ def stabilised_variance(counts: DataFrame, cells: DataFrame) -> DataFrame:
     quad = (y2 - s2 * y0 / k - s3 * y1 / s2) / (s4 - s2 * s2 / k - s3 * s3 / s2)
     g = g.withColumn("_c", quad)
     fitted = (y0 - s2 * F.col("_c")) / k + (y1 - s3 * F.col("_c")) / s2 * F.col("_x") + F.col("_c") * F.col("_x") * F.col("_x")
-    g = g.select("gene_id", "mean", "var", F.pow(F.lit(10.0), fitted).alias("_v"))
+    return g.select("gene_id", "mean", "var", F.pow(F.lit(10.0), fitted).alias("_v"))
+
+
+NEARLY_SINGULAR = 1e-9  # determinants below this share of their size leave the degree out
+
+
+def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float) -> np.ndarray:
+    """Local regression of ``y`` on ``x`` (ascending) at the points ``at``.
+
+    The bandwidth at a point is the distance of its ``ceil(span * n)``-th nearest x; weights are tricube, the fit is a
+    quadratic around the point, a line where the x with weight are too few or too close for it, and their mean where
+    they do not even make a line.
+    """
+    n = len(x)
+    q = min(n, max(1, int(np.ceil(span * n - 1e-9))))
+    out = np.empty(len(at))
+    for i, p in enumerate(at):
+        right = int(np.searchsorted(x, p))
+        low, high = max(0, right - q), min(n, right + q)
+        h = np.partition(np.abs(x[low:high] - p), q - 1)[q - 1]
+        # all within the bandwidth, however many share a distance
+        low, high = (np.searchsorted(x, p - h, "left"), np.searchsorted(x, p + h, "right"))
+        d = x[low:high] - p
+        own = np.abs(d) < h if h > 0 else d == 0
+        u = d[own] / h if h > 0 else d[own]
+        w, v = (1 - np.abs(u) ** 3) ** 3, y[low:high][own]
+        s0, s1, s2, s3, s4 = (float((w * u**k).sum()) for k in range(5))
+        t0, t1, t2 = (float((w * u**k * v).sum()) for k in range(3))
+        det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+        line = s0 * s2 - s1 * s1
+        if det > NEARLY_SINGULAR * s0**3:
+            out[i] = (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det
+        elif line > NEARLY_SINGULAR * s0**2:
+            out[i] = (t0 * s2 - t1 * s1) / line
+        else:
+            out[i] = t0 / s0
+    return out
+
+
+def _local_fit(m: DataFrame, span: float) -> DataFrame:
+    """``m`` with ``_v``, the variance that genes of a similar mean lead one to expect.
+
+    Two numbers per gene go to the tasks, counted first; each task fits its own genes.
+    """
+    fit = m.where((F.col("var") > 0) & (F.col("mean") > 0)).select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    n = fit.count()
+    if 2 * n > MAX_ELEMENTS:
+        raise ValueError(f"{n} genes are beyond what a local fit sends to every task; select genes first")
+    points = np.array([(r["x"], r["y"]) for r in fit.collect()]).reshape(-1, 2)
+    points = points[np.argsort(points[:, 0], kind="stable")]
+
+    def expected(column: pa.Array) -> pa.Array:
+        mean = column.to_numpy(zero_copy_only=False)
+        out = np.full(len(mean), np.nan)
+        known = (mean > 0) & bool(len(points))
+        out[known] = 10.0 ** local_quadratic(points[:, 0], points[:, 1], np.log10(mean[known]), span)
+        return pa.array(out, mask=~known)
+
+    spread = m.repartition(max(1, n // 1000), "gene_id")
+    return spread.select("gene_id", "mean", "var", F.arrow_udf(expected, T.DoubleType())("mean").alias("_v"))
+
+
+def stabilised_variance(counts: DataFrame, cells: DataFrame, span: float | None = 0.3) -> DataFrame:
+    """Variance of standardised, clipped counts per gene.
+
+    The expected log10 variance comes from the genes with a similar log10 mean: a quadratic by local weighted least squares
+    (:func:`local_quadratic`) over the ``span`` nearest share of genes, or one quadratic over all genes if ``span`` is None.
+    Counts are clipped at mean + sqrt(n) * expected deviation.  Zeros enter through their number only.
+    Two passes over the counts: moments (written, gene-sized), then clipped sums.
+    """
+    n = _n_cells(cells)
+    m = cut_lineage(gene_moments(counts, cells))
+    g = _global_fit(m) if span is None else _local_fit(m, span)
     limit = F.col("mean") + F.sqrt(n * F.col("_v"))
     clipped = counts.join(g, "gene_id").withColumn("_x", F.least("x", limit))
     per = clipped.groupBy("gene_id").agg(

@@ -108,6 +108,36 @@ def top_variable_genes(spark, sf):
         FROM cl, nn GROUP BY 1""",
 )
 def stabilised_variance(spark, sf):
+    return rounded(prep.stabilised_variance(t.counts(spark, sf), t.count_cells(spark, sf), span=None))
+
+
+_U = "(x - p) / h"
+_LOCAL = f"""ft AS (SELECT log10(mean) AS x, log10(var) AS y FROM mo WHERE var > 0 AND mean > 0),
+        pt AS (SELECT DISTINCT log10(mean) AS p FROM mo WHERE mean > 0),
+        nr AS (SELECT p, x, y, abs(x - p) AS d, row_number() OVER (PARTITION BY p ORDER BY abs(x - p)) AS r FROM pt, ft),
+        bw AS (SELECT p, max(d) AS h FROM nr WHERE r <= ceil(0.3 * (SELECT count(*) FROM ft) - 1e-9) GROUP BY 1),
+        wt AS (SELECT p, CASE WHEN h > 0 THEN {_U} ELSE 0 END AS u, y, CASE WHEN h > 0 THEN (1 - abs({_U}) ** 3) ** 3 ELSE 1 END AS w
+               FROM nr JOIN bw USING (p) WHERE d < h OR (h = 0 AND d = 0)),
+        sm AS (SELECT p, sum(w) AS s0, sum(w * u) AS s1, sum(w * u ** 2) AS s2, sum(w * u ** 3) AS s3, sum(w * u ** 4) AS s4,
+               sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u ** 2 * y) AS t2 FROM wt GROUP BY 1),
+        dt AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det, s0 * s2 - s1 * s1 AS line FROM sm),
+        lf AS (SELECT p, pow(10, CASE WHEN det > 1e-9 * s0 ** 3 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det
+               WHEN line > 1e-9 * s0 ** 2 THEN (t0 * s2 - t1 * s1) / line ELSE t0 / s0 END) AS v FROM dt)"""
+
+
+@query(
+    "local_stabilised_variance",
+    "G9",
+    f"""{WC}, {moments_sql('counts', 'mo')}, {_LOCAL},
+        cl AS (SELECT gene_id, mean, var, v, least(x, mean + sqrt((SELECT count(*) FROM cells) * v)) AS x
+               FROM counts JOIN mo USING (gene_id) LEFT JOIN lf ON p = log10(mean)),
+        nn AS (SELECT (SELECT count(*) FROM cells) AS n)
+        SELECT gene_id, round(any_value(mean), 6) AS mean, round(any_value(var), 6) AS var,
+               round((any_value(n) * any_value(mean) ** 2 + sum(x * x) - 2 * any_value(mean) * sum(x)) / ((any_value(n) - 1) * any_value(v)), 6) AS var_norm
+        FROM cl, nn GROUP BY 1""",
+)
+def local_stabilised_variance(spark, sf):
+    """Expected variances from the three tenths of genes with the nearest means."""
     return rounded(prep.stabilised_variance(t.counts(spark, sf), t.count_cells(spark, sf)))
 
 

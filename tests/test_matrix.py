@@ -124,3 +124,21 @@ def test_known_markers_keep_genes_that_exist(spark, small):
     got = known_markers(spark, genes, {"t": ["g1", "absent"], "u": ["g1", "g3"]}).collect()
     assert sorted((r["cell_type"], r["gene_id"]) for r in got) == [("t", 1), ("u", 1), ("u", 3)]
     assert marker_table(spark).count() == 64
+
+
+def test_local_quadratic_follows_quadratics_and_survives_ties():
+    x = np.sort(np.random.default_rng(1).normal(size=80))
+    assert np.allclose(prep.local_quadratic(x, 2 - x + 3 * x * x, x, 0.3), 2 - x + 3 * x * x)
+    bent = np.where(x > 0, x, 0.0)
+    near = prep.local_quadratic(x, bent, x, 0.2)
+    one = np.polyval(np.polyfit(x, bent, 2), x)
+    assert np.abs(near - bent).mean() < np.abs(one - bent).mean() / 3
+    tied = np.array([0.0, 0.0, 0.0, 1.0, 1.0])
+    assert np.allclose(prep.local_quadratic(tied, np.array([1.0, 2.0, 3.0, 5.0, 7.0]), tied, 0.4), [2, 2, 2, 6, 6])
+    assert np.allclose(prep.local_quadratic(tied, np.array([1.0, 2.0, 3.0, 5.0, 7.0]), np.array([0.0]), 0.8), [2.0])
+
+
+def test_local_stabilised_variance_of_genes_that_never_vary(spark):
+    counts = spark.createDataFrame([(i, 0, 2.0) for i in range(4)] + [(0, 1, 5.0), (1, 1, 1.0), (2, 2, 3.0)], "cell_id bigint, gene_id bigint, x double")
+    found = {r["gene_id"]: r["var_norm"] for r in prep.stabilised_variance(counts, spark.range(4).withColumnRenamed("id", "cell_id")).collect()}
+    assert found[0] == 0.0 and found[1] > 0 and found[2] > 0
