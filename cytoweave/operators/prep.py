@@ -164,8 +164,11 @@ def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float) -
         # all within the bandwidth, however many share a distance
         low, high = (np.searchsorted(x, p - h, "left"), np.searchsorted(x, p + h, "right"))
         d = x[low:high] - p
-        own = np.abs(d) < h if h > 0 else d == 0
-        u = d[own] / h if h > 0 else d[own]
+        own = np.abs(d) < h
+        if not own.any():  # a bandwidth of no width, or one that ends at the first x: those at its edge, alike
+            own, u = np.abs(d) == h, np.zeros((np.abs(d) == h).sum())
+        else:
+            u = d[own] / h
         w, v = (1 - np.abs(u) ** 3) ** 3, y[low:high][own]
         s0, s1, s2, s3, s4 = (float((w * u**k).sum()) for k in range(5))
         t0, t1, t2 = (float((w * u**k * v).sum()) for k in range(3))
