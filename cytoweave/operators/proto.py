@@ -69,6 +69,68 @@ def pair_scores(cells: DataFrame, protos: DataFrame, metric: str = "dot", keep:
     )
 
 
+def _first_k(proto: np.ndarray, cell: np.ndarray, s: np.ndarray, k: int, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of triples, the k of every prototype with the smallest ``sign * s``, ties by cell id."""
+    order = np.lexsort((cell, sign * s, proto))
+    proto, cell, s = proto[order], cell[order], s[order]
+    start = np.flatnonzero(np.diff(proto, prepend=proto[0] - 1)) if len(proto) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(proto)) - np.repeat(start, np.diff(np.append(start, len(proto))))
+    keep = place < k
+    return proto[keep], cell[keep], s[keep]
+
+
+def _candidates(cell: np.ndarray, s: np.ndarray, k: int, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triples of a score block that can be among the k of their prototype, ties at the border included."""
+    if len(s) > k:
+        border = np.partition(sign * s, k - 1, axis=0)[k - 1]
+        row, column = np.nonzero(sign * s <= border)
+    else:
+        row, column = (i.reshape(-1) for i in np.indices(s.shape))
+    return _first_k(column, cell[row], s[row, column], k, sign)
+
+
+def top_cells(cells: DataFrame, protos: DataFrame, k: int, metric: str = "dot") -> DataFrame:
+    """``(proto_id, cell_id, s, rank)``: the k most similar (``dot``) or nearest (``l2``) cells of every prototype, ties by cell id.
+
+    Every task keeps k cells per prototype while it scores its rows, so what leaves it does not grow with them: n x K rows
+    never exist.  More prototypes than may go to the tasks are cut into tiles, and each pair of tiles is reduced the same way.
+    """
+    sign = -1 if metric == "dot" else 1
+    schema = "proto_id int, cell_id bigint, s double"
+    bounded = bounded_matrix(protos, "proto_id", "vec")
+    names = ["proto_id", "cell_id", "s"]
+
+    def told(ids, best) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids[best[0]].astype(np.int32)), pa.array(best[1], pa.int64()), pa.array(best[2])], names=names)
+
+    if bounded is None:
+        left = pack(cells.select("cell_id", "vec"), [])
+        right = pack(protos.select(F.col("proto_id").cast("bigint").alias("cell_id"), "vec"), [])
+
+        def kernel(row: dict) -> pa.RecordBatch:
+            a, x = unpack(row["rows"])
+            b, p = unpack(row["other"])
+            return told(b, _candidates(a, _block_scores(x, p, metric), k, sign))
+
+        found = tile_map(pair_within(left, right, [], []).select("rows", "other"), kernel, schema)
+    else:
+        ids, p = bounded
+
+        def run(batches):
+            best = None
+            step = max(1, BLOCK // max(1, len(p)))
+            for batch in batches:
+                cell, x = batch.column("cell_id").to_numpy(), V.matrix(batch.column("vec"))
+                for i in range(0, len(x), step):
+                    new = _candidates(cell[i : i + step], _block_scores(x[i : i + step], p, metric), k, sign)
+                    best = new if best is None else _first_k(*(np.concatenate(c) for c in zip(best, new)), k, sign)
+            if best is not None and len(ids):
+                yield told(ids, best)
+
+        found = cells.select("cell_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, schema)
+    return top_k(found, ["proto_id"], [F.desc("s") if metric == "dot" else F.asc("s"), F.asc("cell_id")], k)
+
+
 def _scores_tiled(cells: DataFrame, protos: DataFrame, metric: str) -> DataFrame:
     left = pack(cells, [])
     right = pack(protos.select(F.col("proto_id").cast("bigint").alias("cell_id"), "vec"), [])
@@ -163,11 +225,8 @@ def nearest_prototype_vector(cells: DataFrame, protos: DataFrame) -> DataFrame:
 
 def nearest_cell(cells: DataFrame, protos: DataFrame) -> DataFrame:
     """Nearest real cell of each prototype with its annotations."""
-    scored = pair_scores(cells, protos, "l2", keep=["cell_id"])
-    best = scored.groupBy("proto_id").agg(F.min(F.struct("s", "cell_id")).alias("_m"))
-    return best.select("proto_id", F.col("_m.cell_id").alias("cell_id"), F.col("_m.s").alias("dist")).join(
-        cells.drop("vec"), "cell_id"
-    )
+    best = top_cells(cells, protos, 1, "l2")
+    return best.select("proto_id", "cell_id", F.col("s").alias("dist")).join(cells.drop("vec"), "cell_id")
 
 
 # --- purity and labels ----------------------------------------------------------------------
@@ -201,7 +260,7 @@ def purity_summary(purity: DataFrame) -> DataFrame:
 
 
 def label_by_top_cells(scores: DataFrame, cells: DataFrame, k: int = 10, label: str = "cell_type") -> DataFrame:
-    """Majority label of each prototype's k most similar cells.
+    """Majority label of each prototype's k most similar cells; ``scores`` may be the rows of :func:`top_cells`.
 
     Confidence divides by ``k`` even when fewer rows exist; the lowest label wins a tie.
     """

@@ -96,7 +96,7 @@ def nearest_prototype_vector(spark, sf):
           SELECT *, row_number() OVER (PARTITION BY proto_id ORDER BY s DESC, cell_id) AS rank FROM scores) WHERE rank <= 10""",
 )
 def top_cells_per_prototype(spark, sf):
-    return rounded(rank.top_per_prototype(proto.pair_scores(t.emb(spark, sf), t.protos(spark, sf)), 10))
+    return rounded(proto.top_cells(t.emb(spark, sf), t.protos(spark, sf), 10).select("cell_id", "proto_id", "s", "rank"))
 
 
 @query(
@@ -159,7 +159,7 @@ def label_by_top_cells(spark, sf):
 
 
 def _top_labels(spark, sf):
-    return proto.label_by_top_cells(proto.pair_scores(t.emb(spark, sf), t.protos(spark, sf)), t.emb_cells(spark, sf))
+    return proto.label_by_top_cells(proto.top_cells(t.emb(spark, sf), t.protos(spark, sf), 10), t.emb_cells(spark, sf))
 
 
 @query(

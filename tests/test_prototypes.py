@@ -137,3 +137,26 @@ def test_bank_keeps_latest(spark):
     late = spark.createDataFrame([(1, 1, [9.0], 7)], bank.schema)
     got = {(r["bank_no"], r["cell_id"]): r["vec"] for r in assign.bank_update(bank, late).collect()}
     assert got == {(0, 1): [2.0], (1, 1): [9.0]}
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+@pytest.mark.parametrize("bounded", [True, False])
+def test_top_cells_without_pair_rows(vectors, monkeypatch, metric, bounded):
+    """Ties by cell id, blocks of few rows, more wanted than there are; no row per cell and prototype in the plan."""
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(90, 2)), 1)
+    x[40:60] = x[:20]
+    p = np.round(rng.normal(size=(5, 2)), 1)
+    monkeypatch.setattr(proto, "BLOCK", 35)
+    if not bounded:
+        monkeypatch.setattr(proto, "bounded_matrix", lambda *a, **k: None)
+    cells, protos = vectors(x).repartition(3), vectors(p).withColumnRenamed("cell_id", "proto_id")
+    s = x @ p.T if metric == "dot" else np.sqrt(((x[:, None] - p[None]) ** 2).sum(-1))
+    for k in (1, 7, 200):
+        found = proto.top_cells(cells, protos, k, metric)
+        got = {(r["proto_id"], r["rank"]): (r["cell_id"], round(r["s"], 9)) for r in found.collect()}
+        assert len(got) == 5 * min(k, 90)
+        for j in range(5):
+            order = sorted(range(90), key=lambda i: (-round(s[i, j], 9) if metric == "dot" else round(s[i, j], 9), i))[:k]
+            assert [got[j, r] [1] for r in range(1, len(order) + 1)] == [round(s[i, j], 9) for i in order]
+    assert "Generate" not in proto.top_cells(cells, protos, 3, metric)._jdf.queryExecution().executedPlan().toString() or not bounded
