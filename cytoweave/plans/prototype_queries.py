@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec as V
 from ..functions.rand import uniform
-from ..operators import assign, proto, rank
+from ..operators import assign, proto
 from ..session import cut_lineage
 from . import tables as t
 from .registry import query, rounded
