@@ -1,7 +1,7 @@
 """Links between alike things: equal keys bring them together, a proof decides.
 
-Things are ``hash, size, keys``; whatever shares a key meets in a unit.  Buckets are cut into tiles and
-every pair of tiles is a unit of its own, so no group of copies has to fit anywhere.  In a unit things
+Things are ``hash, size, keys``; whatever shares a key meets in a bucket, read off a sorted stream.  Buckets are
+cut into tiles and every pair of tiles is a unit of search of its own, so no group of copies has to fit anywhere.  In a unit things
 are taken one after the other and compared only with those not yet connected to them, so a bucket of
 copies costs one proof for each member.
 """
@@ -12,84 +12,165 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import sieve
-from .common import expand, mixed, record_batch
+from .common import expand, list_array, mixed, record_batch
 from .simhash import whole_units
 
 TILE = 4096
 # windows hashed at once: they stay in the cache
 WINDOWS_AT_ONCE = 1 << 15
+# rows of units searched at once
+UNIT_ROWS = 1 << 14
+BUCKETS = "no int, key bigint, own int, hashes array<bigint>, sizes array<int>"
 LINKS = "a bigint, b bigint"
 
 
 def min_keys(values: np.ndarray, counts: np.ndarray, rows: int, bands: int, seed: int) -> np.ndarray:
-    """``bands`` keys of every set of hashes (``counts`` of ``values``, one at least): each is made of ``rows`` smallest members."""
+    """``bands`` keys of every set of hashes (``counts`` of ``values``, one at least): each is made of ``rows`` smallest members.
+
+    The upper halves of the hashes are compared: 32 bits are enough for an order, and half the work.
+    """
     out = np.zeros((len(counts), bands), dtype=np.uint64)
     ends = np.cumsum(counts)
-    turn = np.random.default_rng(seed).integers(0, 1 << 63, (bands, rows, 2), dtype=np.uint64)
+    turn = np.random.default_rng(seed).integers(0, 1 << 32, (bands, rows, 2), dtype=np.uint32)
+    half = (values >> np.uint64(32)).astype(np.uint32)
     first = 0
     with np.errstate(over="ignore"):
         while first < len(counts):
             begin = int(ends[first] - counts[first])
             last = max(int(np.searchsorted(ends, begin + WINDOWS_AT_ONCE, side="right")), first + 1)
-            part, starts = values[begin : ends[last - 1]], ends[first:last] - counts[first:last] - begin
+            part, starts = half[begin : ends[last - 1]], ends[first:last] - counts[first:last] - begin
             for band in range(bands):
                 key = np.full(last - first, seed + band, dtype=np.uint64)
                 for flip, odd in turn[band]:
-                    key = mixed(key + np.minimum.reduceat((part ^ flip) * (odd | np.uint64(1)), starts))
+                    key = mixed(key + np.minimum.reduceat((part ^ flip) * (odd | np.uint32(1)), starts))
                 out[first:last, band] = key
             first = last
     return out.view(np.int64)
 
 
-def units(things: DataFrame, tile: int = TILE) -> DataFrame:
-    """``no, key, low, high, own, hash``: things that share a key, by pairs of tiles of its bucket; ``own`` is the thing's tile.
-
-    Of buckets with the same members one is taken: most pairs share many keys.
+class _Buckets:
+    """Buckets from a stream of ``key, hash, size`` in the order of key and hash: never more than a batch and a tile are held."""
+
+    def __init__(self, similarity: float, tile: int):
+        self.similarity, self.tile = similarity, tile
+        self.key = self.hash = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int32)
+        self.done = 0  # tiles already given of the last key
+
+    def add(self, key: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, hashes, size = np.append(self.key, key), np.append(self.hash, hashes), np.append(self.size, size)
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1])
+        yield from self._cut(key[new], hashes[new], size[new], False)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self._cut(self.key, self.hash, self.size, True)
+
+    def _cut(self, key: np.ndarray, hashes: np.ndarray, size: np.ndarray, end: bool) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        count = np.diff(np.append(first, len(key)))
+        whole = count <= self.tile
+        if len(first):
+            whole[0] &= self.done == 0
+            whole[-1] &= end
+        at = expand(first[whole], count[whole])
+        yield self._small(key[at], hashes[at], size[at])
+        held = len(key)
+        for f, n in zip(first[~whole].tolist(), count[~whole].tolist()):
+            open_end = f + n == len(key) and not end
+            begin = f
+            # a row of the last key stays, so that a repeat of it in the next batch is seen
+            while n - (begin - f) > (self.tile if open_end else 0):
+                stop = min(begin + self.tile, f + n)
+                yield self._rows([1], [key[f]], [self.done], hashes[begin:stop], size[begin:stop], np.array([stop - begin]))
+                self.done += 1
+                begin = stop
+            if open_end:
+                held = begin
+            else:
+                self.done = 0
+        self.key, self.hash, self.size = key[held:], hashes[held:], size[held:]
+
+    def _small(self, key: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        """Buckets of one tile, cut where sizes are too far apart, named by their members."""
+        order = np.lexsort((hashes, size, key))
+        key, hashes, size = key[order], hashes[order], size[order]
+        apart = np.ones(len(key), dtype=bool)
+        apart[1:] = (key[1:] != key[:-1]) | (size[1:] - size[:-1] > (1.0 - self.similarity) * size[1:] + 1e-9)
+        first = np.flatnonzero(apart)
+        count = np.diff(np.append(first, len(key)))
+        first, count = first[count > 1], count[count > 1]
+        at = expand(first, count)
+        hashes, size = hashes[at], size[at]
+        starts = np.cumsum(count) - count
+        with np.errstate(over="ignore"):
+            names = mixed(np.add.reduceat(mixed(hashes.view(np.uint64)), starts) + count.astype(np.uint64)) if len(count) else np.zeros(0, dtype=np.uint64)
+        return self._rows(np.zeros(len(count), dtype=np.int32), names.view(np.int64), np.zeros(len(count), dtype=np.int32), hashes, size, count)
+
+    @staticmethod
+    def _rows(no, key, own, hashes: np.ndarray, size: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return record_batch(BUCKETS, [no, key, own, list_array(hashes, count, pa.int64()), list_array(size, count, pa.int32())])
+
+
+def buckets(things: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """``no, key, own, hashes, sizes``: lists of at most ``tile`` different things that share a key.
+
+    A bucket of more is several rows (``no`` 1) with the tile's number ``own``.  Small ones are cut where the
+    next size is too far to be alike, and those with the same members are one row: most pairs share many keys.
+    One exchange of (key, hash, size), and no count before it.
     """
-    # one exchange: repeats of a thing go, and buckets are counted, where their key is
-    met = things.select(F.explode("keys").alias("key"), "hash").repartition("key").dropDuplicates(["key", "hash"])
-    members = F.bit_xor(F.xxhash64("hash", F.lit(1)))
-    sizes = met.groupBy("key").agg(F.count("*").alias("_n"), members.alias("_x"), F.min("hash").alias("_m")).where("_n > 1")
-    sizes = cut_lineage(sizes.groupBy("_n", "_x", "_m").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("_n") / tile).cast("int").alias("_tiles")))
-    shared = things.sparkSession.sparkContext.broadcast(sieve.build(sizes, "key"))
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Buckets(similarity, tile)
         for batch in batches:
-            keys = batch.column(1)
-            flat = keys.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(keys), 0).to_numpy())
-            take = np.flatnonzero(shared.value.passes(flat))
-            yield record_batch("hash bigint, key bigint", [batch.column(0).take(pa.array(owner[take])), flat[take]])
+            yield from found.add(*(batch.column(i).to_numpy() for i in range(3)))
+        yield from found.end()
+
+    met = things.select(F.explode("keys").alias("key"), "hash", "size").repartition("key").sortWithinPartitions("key", "hash")
+    return met.mapInArrow(run, BUCKETS).dropDuplicates(["no", "key", "own"])
+
+
+def units(found: DataFrame) -> DataFrame:
+    """``no, key, low, high, own, hash, size`` of ``buckets``: every pair of tiles of a bucket is a unit."""
+    tiles = found.where("no = 1").groupBy("no", "key").agg((F.max("own") + 1).alias("_tiles"))
+    dealt = found.join(tiles, ["no", "key"], "left").withColumn("_t", F.explode(F.sequence(F.lit(0), F.coalesce("_tiles", F.lit(1)) - 1)))
+    return dealt.select("no", "key", F.least("own", "_t").alias("low"), F.greatest("own", "_t").alias("high"), "own", F.explode(F.arrays_zip("hashes", "sizes")).alias("_m")).select(
+        "no", "key", "low", "high", "own", F.col("_m.hashes").alias("hash"), F.col("_m.sizes").alias("size")
+    )
+
 
-    cut = things.select("hash", "keys").mapInArrow(some, "hash bigint, key bigint").distinct()
-    own = F.pmod(F.xxhash64("hash"), F.col("_tiles")).cast("int")
-    met = cut.join(sizes, "key").select("key", "hash", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_t"))
-    return met.select(F.lit(0).alias("no"), "key", F.least("own", "_t").alias("low"), F.greatest("own", "_t").alias("high"), "own", "hash")
+def sketch_distances(counts: np.ndarray, a: np.ndarray, b: np.ndarray, at_once: int = 2048) -> np.ndarray:
+    """Sum of absolute differences of the rows ``a`` and ``b`` of a matrix of bytes."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for i in range(0, len(a), at_once):
+        x, y = counts[a[i : i + at_once]], counts[b[i : i + at_once]]
+        out[i : i + at_once] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Callable[[bytes, bytes], bool], similarity: float, tile: int = TILE) -> DataFrame:
+def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Callable[[bytes, bytes], bool], similarity: float, tile: int = TILE, sketch: Callable[[list[bytes]], np.ndarray] | None = None, per_size: float = 0.0) -> DataFrame:
     """``(a, b)`` over hashes: proven links that connect all that share a key and pass ``proof``.
 
-    ``things(hash, size, keys)`` may repeat a hash; ``held`` gives ``hash, held`` (binary) for a table of
-    hashes.  Sizes that differ by more than ``1 - similarity`` of the larger are never alike.
+    ``things(hash, size, keys)`` may repeat a hash and is read once; ``held`` gives ``hash, held`` (binary) for a
+    table of hashes.  Sizes that differ by more than ``1 - similarity`` of the larger are never alike.  With
+    ``sketch`` (a row of counts for every held value), neither are those whose counts differ by more than
+    ``per_size`` times the larger size in all: such pairs are passed over before the proof.
     """
-    dealt = cut_lineage(units(things, tile))
-    wanted = cut_lineage(dealt.select("hash").distinct())
-    sizes = things.select("hash", "size").join(wanted, "hash", "left_semi").distinct()
-    dealt = dealt.join(sizes.join(held(wanted), "hash"), "hash").select("no", "key", "low", "high", "own", "hash", "size", "held")
+    found = cut_lineage(buckets(things, similarity, tile))
+    wanted = cut_lineage(found.select(F.explode("hashes").alias("hash")).distinct())
+    dealt = units(found).join(held(wanted), "hash").select("no", "key", "low", "high", "own", "hash", "size", "held")
     dealt = dealt.repartition("no", "key", "low", "high").sortWithinPartitions("no", "key", "low", "high")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, table in whole_units(batches):
+        for unit, table in whole_units(batches, UNIT_ROWS):
             low, high, own, hashes, size = (table.column(c).to_numpy() for c in ("low", "high", "own", "hash", "size"))
             text = table.column("held").combine_chunks()
             parent = list(range(len(hashes)))
+            counts = sketch(text.to_pylist()) if sketch else None
 
             def root(i: int) -> int:
                 while parent[i] != i:
@@ -103,11 +184,16 @@ def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Call
                 a, b = np.repeat(first + step, count - step - 1), expand(first + step + 1, count - step - 1)
                 longer = np.maximum(size[a], size[b])
                 go = (label[a] != label[b]) & (np.abs(size[a] - size[b]) <= (1.0 - similarity) * longer + 1e-9) & ((low[a] == high[a]) | (own[a] != own[b]))
-                for i, j in zip(a[go].tolist(), b[go].tolist()):
+                a, b, longer, joined = a[go], b[go], longer[go], False
+                if counts is not None and len(a):
+                    near = sketch_distances(counts, a, b) <= per_size * longer + 1e-6
+                    a, b = a[near], b[near]
+                for i, j in zip(a.tolist(), b.tolist()):
                     x, y = root(i), root(j)
                     if x != y and proof(text[i].as_py(), text[j].as_py()):
                         parent[max(x, y)] = min(x, y)
-                if go.any():
+                        joined = True
+                if joined:
                     at = expand(first, count)
                     label[at] = [root(i) for i in at.tolist()]
                 step += 1

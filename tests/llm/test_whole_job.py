@@ -68,7 +68,7 @@ def test_a_line_with_one_word_more_or_replaced_is_found(spark):
 def test_tiles_change_nothing(spark, monkeypatch, tile):
     from cytoweave.llm import alike
 
-    monkeypatch.setattr(lines, "links", lambda *a: alike.links(*a, tile=tile))
+    monkeypatch.setattr(lines, "links", lambda *a, **k: alike.links(*a, **k, tile=tile))
     rows = [(i, f"0 0 0 0 {10 + i}") for i in range(30)] + [(99, "something else with five words")]
     assert dropped(spark, rows) == {i: [0] if 0 < i < 99 else [] for i, _ in rows}
 
@@ -127,3 +127,37 @@ def test_long_comments_stay_marked():
     page = "<body><article><p>Short text.</p></article><div class=comments>" + "<p>Many words of readers about it.</p>" * 9 + "</div></body>"
     assert html_text.main_text(page, None) == "Short text."
     assert html_text.main_text("<body><div class=share><p>All there is.</p></div></body>", None) == "All there is."
+
+
+@pytest.mark.parametrize("tile", [4096, 3, 1])
+def test_buckets_hold_every_pair_of_a_key(spark, tile):
+    from cytoweave.llm import alike
+
+    draw = np.random.default_rng(tile)
+    things = [(h, int(draw.integers(1, 40)), sorted({int(k) for k in draw.integers(0, 12, 3)})) for h in range(60)]
+    df = spark.createDataFrame(things * 2, "hash bigint, size int, keys array<bigint>")
+    dealt = {}
+    for r in alike.units(alike.buckets(df, 0.8, tile)).collect():
+        dealt.setdefault((r["no"], r["key"], r["low"], r["high"]), []).append(r)
+    assert all(len(rows) <= 2 * tile for rows in dealt.values())
+    met = {tuple(sorted((x["hash"], y["hash"]))) for rows in dealt.values() for x in rows for y in rows if x["low"] == x["high"] or x["own"] != y["own"]}
+    for a, size_a, keys_a in things:
+        for b, size_b, keys_b in things:
+            if a < b and set(keys_a) & set(keys_b) and abs(size_a - size_b) <= 0.2 * max(size_a, size_b) + 1e-9:
+                assert (a, b) in met
+
+
+def test_pair_counts_bound_the_edit_distance():
+    draw = np.random.default_rng(7)
+    texts = ["", "a", "a" * 700]
+    for _ in range(60):
+        text = list("".join(draw.choice(list("abc é中"), int(draw.integers(1, 300)))))
+        texts.append("".join(text))
+        for _ in range(int(draw.integers(1, 12))):
+            at = int(draw.integers(0, len(text) + 1))
+            text[at : at + int(draw.integers(0, 2))] = ["", "x", "中"][int(draw.integers(0, 3))]
+        texts.append("".join(text))
+    counts = lines.pair_counts([t.encode() for t in texts]).astype(int)
+    for i in range(len(texts)):
+        for j in range(max(0, i - 3), i):
+            assert np.abs(counts[i] - counts[j]).sum() <= 4 * lines.edit_distance(texts[i], texts[j])
