@@ -143,22 +143,13 @@ def units(found: DataFrame) -> DataFrame:
     )
 
 
-def sketch_distances(counts: np.ndarray, a: np.ndarray, b: np.ndarray, at_once: int = 2048) -> np.ndarray:
-    """Sum of absolute differences of the rows ``a`` and ``b`` of a matrix of bytes."""
-    out = np.zeros(len(a), dtype=np.int64)
-    for i in range(0, len(a), at_once):
-        x, y = counts[a[i : i + at_once]], counts[b[i : i + at_once]]
-        out[i : i + at_once] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-    return out
-
-
-def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Callable[[bytes, bytes], bool], similarity: float, tile: int = TILE, sketch: Callable[[list[bytes]], np.ndarray] | None = None, per_size: float = 0.0) -> DataFrame:
+def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Callable[[bytes, bytes], bool], similarity: float, tile: int = TILE, sift: Callable[[list[bytes]], Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]] | None = None) -> DataFrame:
     """``(a, b)`` over hashes: proven links that connect all that share a key and pass ``proof``.
 
     ``things(hash, size, keys)`` may repeat a hash and is read once; ``held`` gives ``hash, held`` (binary) for a
-    table of hashes.  Sizes that differ by more than ``1 - similarity`` of the larger are never alike.  With
-    ``sketch`` (a row of counts for every held value), neither are those whose counts differ by more than
-    ``per_size`` times the larger size in all: such pairs are passed over before the proof.
+    table of hashes.  Sizes that differ by more than ``1 - similarity`` of the larger are never alike.  ``sift``
+    prepares the held values of many units and gives a function from pairs (row, row, larger size) to the mask of
+    those worth a proof.
     """
     found = cut_lineage(buckets(things, similarity, tile))
     wanted = cut_lineage(found.select(F.explode("hashes").alias("hash")).distinct())
@@ -170,7 +161,7 @@ def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Call
             low, high, own, hashes, size = (table.column(c).to_numpy() for c in ("low", "high", "own", "hash", "size"))
             text = table.column("held").combine_chunks()
             parent = list(range(len(hashes)))
-            counts = sketch(text.to_pylist()) if sketch else None
+            worth = sift(text.to_pylist()) if sift else None
 
             def root(i: int) -> int:
                 while parent[i] != i:
@@ -185,8 +176,8 @@ def links(things: DataFrame, held: Callable[[DataFrame], DataFrame], proof: Call
                 longer = np.maximum(size[a], size[b])
                 go = (label[a] != label[b]) & (np.abs(size[a] - size[b]) <= (1.0 - similarity) * longer + 1e-9) & ((low[a] == high[a]) | (own[a] != own[b]))
                 a, b, longer, joined = a[go], b[go], longer[go], False
-                if counts is not None and len(a):
-                    near = sketch_distances(counts, a, b) <= per_size * longer + 1e-6
+                if worth is not None and len(a):
+                    near = worth(a, b, longer)
                     a, b = a[near], b[near]
                 for i, j in zip(a.tolist(), b.tolist()):
                     x, y = root(i), root(j)

@@ -27,8 +27,11 @@ def test_op3_by_edit_similarity_alone(spark, small, texts):
         near = np.flatnonzero(np.abs(letters[i + 1 : upto] - letters[i]).sum(axis=1) <= 2 * (0.2 * size[i + 1 : upto] + 1e-9)) + i + 1
         pairs += [(i, int(j)) for j in near if similar(t, joined[j])]
     met = sum(bool(keys[i] & keys[j]) for i, j in pairs)
-    print(f"recall {met}/{len(pairs)}")
-    assert pairs and met >= 0.99 * len(pairs)
+    worth = lines.sift([t.encode() for t in joined], 0.8)
+    a, b = np.array(pairs).T
+    sifted = worth(a, b, np.maximum(size[a], size[b]))
+    print(f"recall {met}/{len(pairs)} of the keys, {sifted.sum()}/{len(pairs)} of the sieve")
+    assert pairs and met >= 0.99 * len(pairs) and sifted.sum() >= 0.99 * len(pairs)
     near = {}
     for i, j in pairs:
         near.setdefault(i, set()).add(j)
