@@ -172,14 +172,6 @@ def bucket_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
 
 
-def first_bucket(differ: np.ndarray, distance: int = DISTANCE, blocks: int = BLOCKS) -> np.ndarray:
-    """Number of the first bucket that two codes share, from the bits in which they differ."""
-    first = np.full(len(differ), -1)
-    for number, mask in enumerate(bucket_masks(blocks, distance)):
-        first[(first < 0) & (differ & np.uint64(mask) == 0)] = number
-    return first
-
-
 def _bucket_columns(code: str, blocks: int, distance: int):
     """One struct(no, key) for each choice of blocks that must agree."""
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in bucket_masks(blocks, distance)]
