@@ -4,8 +4,9 @@ Which lengths share a sequence is decided on the histogram of lengths alone, at
 ``capacity`` numbers whatever the number of documents.  The configuration linear program over
 it is solved by multiplicative weights: every length has a price, a knapsack dynamic program
 finds the most valuable configuration, and the prices of what it covers fall.  The fractional
-solution is rounded down; what is left (bounded by configurations times their items) is priced
-again, then placed best fit, longest first.
+solution is rounded down; what is left is priced again, and what no pass places is placed best
+fit, longest first, with equal pieces counted.  The plan never needs more sequences than best fit
+alone.
 
 Pieces find their place by their rank among the pieces of their length, so nothing is
 gathered: ranks are counted inside each task and shifted by the counts of earlier tasks.
@@ -29,6 +30,10 @@ SWEEPS = 8
 STEP = 0.25
 # lengths that share one pricing
 BLOCK = 64
+# first prices grow a little faster than the lengths: of equally full sequences those of few long pieces come first
+BEND = 1.05
+# passes end when rounding leaves more than this share
+LEAST_PROGRESS = 0.5
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, part int, rank bigint, ids array<int>"
 
 
@@ -72,7 +77,7 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, sweeps: i
     with that length is bought until its scarcest length has a ``step`` of its demand, and
     prices fall with what was covered.
     """
-    prices = lengths / capacity
+    prices = (lengths / capacity) ** BEND
     covered = np.zeros(len(lengths))
     amounts: dict[tuple, float] = {}
     for _ in range(sweeps):
@@ -93,36 +98,48 @@ def fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, sweeps: i
     return amounts
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple, int]:
-    """Longest first, each into the fullest sequence with room; equal sequences are counted together."""
-    open_at: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-    room_used = np.zeros(capacity + 1, dtype=bool)
-    for at in np.argsort(-lengths):
-        size = int(lengths[at])
-        for _ in range(int(counts[at])):
-            rooms = np.flatnonzero(room_used[size:])
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
+    """``{configuration: times}``: longest first, each into the fullest sequence with room.
+
+    Equal sequences are one entry with a count, and equal pieces are placed together: a piece that
+    fits twice into the fullest sequence goes there twice.  So work grows with the lengths, not with
+    the pieces.
+    """
+    open_at: list[dict[tuple, int]] = [{} for _ in range(capacity + 1)]
+    in_use = np.zeros(capacity + 1, dtype=bool)
+    for at in np.argsort(-lengths, kind="stable"):
+        size, todo = int(lengths[at]), int(counts[at])
+        while todo:
+            rooms = np.flatnonzero(in_use[size:])
             if len(rooms):
                 room = size + int(rooms[0])
-                items = open_at[room].pop()
-                room_used[room] = bool(open_at[room])
+                shape, there = open_at[room].popitem()
             else:
-                room, items = capacity, []
-            items.append(int(at))
-            open_at[room - size].append(items)
-            room_used[room - size] = True
-    found: dict[tuple, int] = {}
-    for items in (i for at_room in open_at for i in at_room):
-        key = tuple(items)
-        found[key] = found.get(key, 0) + 1
-    return found
+                room, shape, there = capacity, (), todo
+            per = min(room // size, todo)
+            times = min(there, todo // per)
+            if there > times and room < capacity:
+                open_at[room][shape] = there - times
+            in_use[room] = bool(open_at[room])
+            rest, held = room - per * size, (*shape, (int(at), per))
+            open_at[rest][held] = open_at[rest].get(held, 0) + times
+            in_use[rest] = True
+            todo -= per * times
+    return {shape: times for at_room in open_at for shape, times in at_room.items()}
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, sweeps: int = SWEEPS, step: float = STEP) -> list[tuple[dict[int, int], int]]:
-    """``[(configuration, times)]`` that holds every piece of ``histogram`` (length -> count) exactly once."""
+    """``[(configuration, times)]`` that holds every piece of ``histogram`` (length -> count) exactly once.
+
+    Each pass solves the linear program for what the rounding of the last one left, until rounding
+    leaves nearly all.  Rounded passes are kept as long as they help: the plan is the shortest of those that
+    place the rest after some number of passes best fit, so it is never longer than best fit alone.
+    """
     lengths = np.array(sorted(n for n in histogram if histogram[n]), dtype=np.int64)
     left = np.array([histogram[n] for n in lengths], dtype=np.int64)
-    out: list[tuple[dict[int, int], int]] = []
-    while left.sum() > 0:  # each pass prices what the rounding of the last one left
+    bought: list[tuple[tuple, int]] = []
+    best = list(best_fit(lengths, left, capacity).items())
+    while left.sum() > 0:
         here = np.flatnonzero(left)
         before = left.sum()
         amounts = fractional(lengths[here], left[here].astype(float), capacity, sweeps, step)
@@ -131,15 +148,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, sweeps: int = SWEE
             times = min(int(amount + 1e-9), int((left[at] // per).min()))
             if times > 0:
                 left[at] -= per * times
-                out.append(({int(n): int(k) for n, k in zip(lengths[at], per)}, times))
-        if left.sum() > before // 2:
+                bought.append((tuple(zip(at.tolist(), per.tolist())), times))
+        whole = bought + list(best_fit(lengths, left, capacity).items())
+        if sum(times for _, times in whole) <= sum(times for _, times in best):
+            best = whole
+        if left.sum() > LEAST_PROGRESS * before:
             break
-    for items, times in best_fit(lengths, left, capacity).items():
-        shape: dict[int, int] = {}
-        for at in items:
-            shape[int(lengths[at])] = shape.get(int(lengths[at]), 0) + 1
-        out.append((shape, times))
-    return out
+    return [({int(lengths[at]): per for at, per in shape}, times) for shape, times in best]
 
 
 class Places:
