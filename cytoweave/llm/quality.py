@@ -3,8 +3,9 @@
 Every rule looks at one signal of a text and votes good, votes bad, or abstains.  How far a rule
 can be trusted is not set by hand: with the true class hidden, expectation-maximisation
 estimates each rule's accuracy on good and on bad texts and the share of good texts, and a
-text's verdict is its posterior probability of being good.  A document is no longer dropped for
-failing one of many rules.
+text's verdict is its posterior probability of being good.  Every rule votes both ways: a clear
+good value is a good vote, and between the two bounds the rule abstains.  So several good votes can
+outweigh a bad one, and bad votes of weak rules add up.
 
 DataFrame functions only.  Equal vote patterns are counted first (at most 3 ** rules rows), so
 an iteration never reads documents again.
@@ -24,12 +25,10 @@ from .common import free_name
 
 SPACE = r"[\x20\x09-\x0D]"
 GOOD, BAD, ABSTAIN = 1, 0, -1
-TOLERANCE = 1e-4
+TOLERANCE = 1e-6
 FIRST_ACCURACY = 0.9
-# pseudo-counts of voting bad, abstaining, voting good: a bad vote on a good text is rare until seen
-PRIOR_GOOD, PRIOR_BAD = (0.1, 1.0, 1.0), (1.0, 1.0, 1.0)
-# what is taken for granted of every rule: it votes bad on bad texts so many times as often as on good ones
-LEAST_RATIO = 20.0
+# no outcome of a rule, and neither class, is taken for rarer than this: so one vote alone never decides against all others
+FLOOR = 0.01
 WINDOW = 5
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals", "n_ends", "n_alone", "n_distinct_words")
 
@@ -43,17 +42,16 @@ class Rule:
     good: str
 
 
-NEVER = "false"
 RULES = (
     Rule("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    Rule("capitals", "n_letters >= 20 and n_capitals > 0.5 * n_letters", NEVER),
-    Rule("repeats", "n_repeat_words > 0.2 * n_words", NEVER),
-    Rule("lines", "n_lines >= 4 and n_dup_lines > 0.5 * n_lines", NEVER),
-    Rule("word length", "n_words >= 10 and (word_chars > 14 * n_words or word_chars < 2.5 * n_words)", NEVER),
-    Rule("sentence ends", "n_words >= 20 and n_ends > 0.5 * n_words", "n_words >= 20 and n_ends between 0.01 * n_words and 0.4 * n_words"),
-    Rule("signs", "n_letters < 0.7 * word_chars", NEVER),
-    Rule("lone signs", "n_alone > 0.1 * n_words", NEVER),
-    Rule("variety", "n_words >= 30 and n_distinct_words < 0.15 * n_words", NEVER),
+    Rule("capitals", "n_letters >= 20 and n_capitals > 0.5 * n_letters", "n_letters >= 20 and n_capitals <= 0.15 * n_letters"),
+    Rule("repeats", "n_repeat_words > 0.2 * n_words", "n_words >= 20 and n_repeat_words <= 0.05 * n_words"),
+    Rule("lines", "n_lines >= 4 and n_dup_lines > 0.3 * n_lines", "n_lines >= 4 and n_dup_lines <= 0.05 * n_lines"),
+    Rule("word length", "n_words >= 10 and (word_chars > 14 * n_words or word_chars < 2.5 * n_words)", "n_words >= 10 and word_chars between 3.5 * n_words and 7 * n_words"),
+    Rule("sentence ends", "n_words >= 20 and n_ends > 0.5 * n_words", "n_words >= 20 and n_ends between 0.01 * n_words and 0.25 * n_words"),
+    Rule("signs", "n_letters < 0.75 * word_chars", "n_words >= 10 and n_letters >= 0.9 * word_chars"),
+    Rule("lone signs", "n_alone > 0.1 * n_words", "n_words >= 10 and n_alone <= 0.02 * n_words"),
+    Rule("variety", "n_words >= 30 and n_distinct_words < 0.15 * n_words", "n_words >= 30 and n_distinct_words >= 0.3 * n_words"),
 )
 
 
@@ -107,60 +105,79 @@ def votes(found: str, rules: tuple[Rule, ...] = RULES) -> Column:
 
 @dataclass(frozen=True)
 class Weights:
-    """``good``: share of good texts; per rule the probabilities of voting bad, abstaining and voting good, on good and on bad texts."""
+    """``good``: share of good texts; per rule the probabilities that its vote is bad or good, on good and on bad texts.
+
+    How often a rule abstains (a short text gives it too little) does not depend on the class, so it says nothing.
+    """
 
     good: float
-    on_good: tuple[tuple[float, float, float], ...]
-    on_bad: tuple[tuple[float, float, float], ...]
+    on_good: tuple[tuple[float, float], ...]
+    on_bad: tuple[tuple[float, float], ...]
+
+    def logs(self, vote: Column) -> tuple[Column, Column]:
+        """Log probability of these votes and the class, for a good and for a bad text."""
+        sides = []
+        for share, rules in ((self.good, self.on_good), (1.0 - self.good, self.on_bad)):
+            total = F.lit(math.log(share))
+            for i, shares in enumerate(rules):
+                bad, good = map(math.log, shares)
+                v = F.get(vote, F.lit(i))
+                total = total + F.when(v == BAD, bad).when(v == GOOD, good).otherwise(0.0)
+            sides.append(total)
+        return sides[0], sides[1]
 
     def posterior(self, vote: Column) -> Column:
         """Probability that a text with these votes is good."""
-        odds = F.lit(math.log(self.good / (1.0 - self.good)))
-        for i, (g, b) in enumerate(zip(self.on_good, self.on_bad)):
-            bad, none, good = (math.log(x / y) for x, y in zip(g, b))
-            v = F.get(vote, F.lit(i))
-            odds = odds + F.when(v == BAD, bad).when(v == GOOD, good).otherwise(none)
-        return 1.0 / (1.0 + F.exp(-odds))
-
-    def accuracy(self) -> list[tuple[float, float]]:
-        """Per rule: how often its vote is right on good and on bad texts, when it votes."""
-        return [(g[2] / (g[0] + g[2]), b[0] / (b[0] + b[2])) for g, b in zip(self.on_good, self.on_bad)]
+        good, bad = self.logs(vote)
+        return 1.0 / (1.0 + F.exp(bad - good))
 
 
 def fit(voted: DataFrame, rules: int = len(RULES), tolerance: float = TOLERANCE) -> Weights:
-    """Estimate the weights from ``voted(votes)`` by expectation-maximisation, until they settle.
+    """Estimate the weights from ``voted(votes)`` by expectation-maximisation.
 
-    The first guess takes a text for bad (``FIRST_ACCURACY``) if any rule says so.  Pseudo-counts
-    keep all probabilities inside (0, 1); without documents only these are left.
+    The first guess takes a text for bad (``FIRST_ACCURACY``) if any rule says so.  The estimate of
+    every round is the likeliest one with all shares at ``FLOOR`` or more, so the likelihood never
+    falls, and since it is bounded the rounds end: when a round adds less than ``tolerance`` a text.
     """
+    return rounds(voted, rules, tolerance)[-1][0]
+
+
+def rounds(voted: DataFrame, rules: int = len(RULES), tolerance: float = TOLERANCE) -> list[tuple[Weights, float]]:
+    """Weights and mean log-likelihood of a text, round by round; without texts one round of even shares."""
     patterns = cut_lineage(voted.groupBy("votes").agg(F.count("*").cast("double").alias("n")).coalesce(1))
-    guess = F.when(F.array_contains("votes", F.lit(BAD).cast("tinyint")), 1.0 - FIRST_ACCURACY).otherwise(FIRST_ACCURACY)
-    now = _maximise(patterns, guess, rules)
+    suspect = F.array_contains("votes", F.lit(BAD).cast("tinyint"))
+    now, _ = _maximise(patterns, F.when(suspect, 1.0 - FIRST_ACCURACY).otherwise(FIRST_ACCURACY), F.lit(0.0), rules)
+    found: list[tuple[Weights, float]] = []
     while True:
-        new = _maximise(patterns, now.posterior(F.col("votes")), rules)
-        flat = lambda w: [w.good, *(x for side in (w.on_good, w.on_bad) for three in side for x in three)]
-        change = max(abs(a - b) for a, b in zip(flat(new), flat(now)))
+        good, bad = now.logs(F.col("votes"))
+        new, likelihood = _maximise(patterns, now.posterior(F.col("votes")), F.greatest(good, bad) + F.log1p(F.exp(-F.abs(good - bad))), rules)
+        found.append((now, likelihood))
+        if len(found) > 1 and not likelihood - found[-2][1] >= tolerance or likelihood == 0.0:
+            return found
         now = new
-        if change < tolerance:
-            return now
 
 
-def _maximise(patterns: DataFrame, good: Column, rules: int) -> Weights:
-    """Outcome shares of every rule when each pattern counts as good with probability ``good``."""
-    weighed = patterns.select("votes", (F.col("n") * good).alias("g"), (F.col("n") * (1.0 - good)).alias("b"))
-    sums = [F.sum("g"), F.sum("b")]
+def _maximise(patterns: DataFrame, good: Column, log: Column, rules: int) -> tuple[Weights, float]:
+    """Likeliest shares when each pattern counts as good with probability ``good``; and the mean of ``log``."""
+    weighed = patterns.select("votes", "n", (F.col("n") * good).alias("g"), (F.col("n") * (1.0 - good)).alias("b"), (F.col("n") * log).alias("log"))
+    sums = [F.sum("n"), F.sum("log"), F.sum("g"), F.sum("b")]
     for i in range(rules):
         v = F.get(F.col("votes"), F.lit(i))
-        sums += [F.sum(F.when(v == x, F.col(side))) for side in ("g", "b") for x in (BAD, ABSTAIN, GOOD)]
+        sums += [F.sum(F.when(v == x, F.col(side))) for side in ("g", "b") for x in (BAD, GOOD)]
     row = [float(x or 0.0) for x in weighed.agg(*sums).first()]
-    share = lambda at, total, prior: tuple((x + p) / (total + sum(prior)) for x, p in zip(row[at : at + 3], prior))
-    on_bad = [share(5 + 6 * i, row[1], PRIOR_BAD) for i in range(rules)]
-    on_good = [_trusted(share(2 + 6 * i, row[0], PRIOR_GOOD), b) for i, b in enumerate(on_bad)]
-    return Weights((row[0] + 1.0) / (row[0] + row[1] + 2.0), tuple(on_good), tuple(on_bad))
+    on_good = tuple(floored(row[4 + 4 * i : 6 + 4 * i]) for i in range(rules))
+    on_bad = tuple(floored(row[6 + 4 * i : 8 + 4 * i]) for i in range(rules))
+    return Weights(floored(row[2:4])[0], on_good, on_bad), row[1] / row[0] if row[0] else 0.0
 
 
-def _trusted(good: tuple[float, ...], bad: tuple[float, ...]) -> tuple[float, ...]:
-    """Outcome shares on good texts with the share of bad votes held to ``LEAST_RATIO``."""
-    held = min(good[0], bad[0] / LEAST_RATIO)
-    rest = (1.0 - held) / (good[1] + good[2])
-    return held, good[1] * rest, good[2] * rest
+def floored(counts: list[float], floor: float = FLOOR) -> tuple[float, ...]:
+    """The likeliest shares for ``counts`` with every share at ``floor`` or more (even shares without counts)."""
+    if sum(counts) <= 0:
+        return tuple(1.0 / len(counts) for _ in counts)
+    low: set[int] = set()
+    while True:
+        rest, total = 1.0 - floor * len(low), sum(c for i, c in enumerate(counts) if i not in low)
+        more = {i for i, c in enumerate(counts) if i not in low and c * rest < floor * total}
+        if not more:
+            return tuple(floor if i in low else c * rest / total for i, c in enumerate(counts))
+        low |= more
