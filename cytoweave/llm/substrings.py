@@ -32,10 +32,10 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 200
 ANCHOR = 64
-# text looked at together in a task; segments sorted together in a shard
-CHUNK_BYTES = 2 << 20
+# text looked at together in a task (its arrays should stay in a core's cache); segments sorted together in a shard
+CHUNK_BYTES = 512 << 10
 SHARD_BYTES = 2 << 20
-SPANS = "doc_id bigint, first bigint, n int, leader bigint, hash bigint, place bigint"
+SPANS = "doc_id bigint, first bigint, n int, leader bigint, hash bigint"
 PIECES = "doc_id bigint, first bigint, data binary"
 MARKS = "leader bigint, hash bigint, a int, b int"
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -91,15 +91,19 @@ class Joined:
         self.leader = leader.view(np.int64)
         self.row = np.searchsorted(ends, self.first, side="right")
         self.inside = self.first - (ends - sizes)[self.row]
-        self.ids = batch.column(0)
-        ids = pc.fill_null(self.ids, -1).to_numpy(zero_copy_only=False).view(np.uint64)
-        with np.errstate(over="ignore"):
-            self.place = mixed(mixed(ids)[self.row] + self.inside.astype(np.uint64) if len(ids) else np.zeros(0, dtype=np.uint64)).view(np.int64)
+        self.ids = batch.column(0).take(pa.array(self.row))
 
     def bytes_of(self, i: int, length: int) -> bytes:
         return self.raw[self.first[i] : self.first[i] + self.count[i] + length - 1]
 
 
+def places(ids: pa.Array, first: np.ndarray) -> np.ndarray:
+    """A 64-bit key of the byte ``first`` of the document ``ids``, row by row."""
+    with np.errstate(over="ignore"):
+        ids = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).view(np.uint64)
+        return mixed(mixed(ids) + first.astype(np.uint64)).view(np.int64)
+
+
 def _over(docs: DataFrame, fn, schema: str, length: int, anchor: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -111,27 +115,26 @@ def _over(docs: DataFrame, fn, schema: str, length: int, anchor: int) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def segments(docs: DataFrame, wanted: sieve.Sieve, length: int, anchor: int) -> DataFrame:
-    """``doc_id, first, n, leader, hash, place`` of segments whose leader passes the sieve."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+def segments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+    """``doc_id, first, n, leader, hash`` of every segment."""
 
     def emit(joined: Joined):
-        take = np.flatnonzero(shared.value.passes(joined.leader))
         digest = xxhash.xxh3_64_intdigest
-        hashes = np.array([digest(joined.bytes_of(i, length)) for i in take.tolist()], dtype=np.uint64).view(np.int64)
-        yield record_batch(SPANS, [joined.ids.take(pa.array(joined.row[take])), joined.inside[take], joined.count[take].astype(np.int32), joined.leader[take], hashes, joined.place[take]])
+        hashes = np.array([digest(joined.bytes_of(i, length)) for i in range(len(joined.first))], dtype=np.uint64).view(np.int64)
+        yield record_batch(SPANS, [joined.ids, joined.inside, joined.count.astype(np.int32), joined.leader, hashes])
 
     return _over(docs, emit, SPANS, length, anchor)
 
 
-def repeated_leaders(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """``leader`` of every leader that occurs twice or more, counted over all texts."""
+def that_pass(rows: DataFrame, key: str, wanted: sieve.Sieve) -> DataFrame:
+    """``rows`` whose ``key`` passes the sieve."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
-    def emit(joined: Joined):
-        found, n = np.unique(joined.leader, return_counts=True)
-        yield record_batch("leader bigint, n bigint", [found, n])
+    @F.arrow_udf("boolean")
+    def passes(keys: pa.Array) -> pa.Array:
+        return pa.array(shared.value.passes(keys.to_numpy(zero_copy_only=False)))
 
-    return _over(docs, emit, "leader bigint, n bigint", length, anchor).groupBy("leader").agg(F.sum("n").alias("n")).where("n > 1").select("leader")
+    return rows.where(passes(key))
 
 
 def texts_of(docs: DataFrame, wanted: sieve.Sieve, length: int, anchor: int) -> DataFrame:
@@ -139,8 +142,8 @@ def texts_of(docs: DataFrame, wanted: sieve.Sieve, length: int, anchor: int) ->
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def emit(joined: Joined):
-        take = np.flatnonzero(shared.value.passes(joined.place))
-        yield record_batch(PIECES, [joined.ids.take(pa.array(joined.row[take])), joined.inside[take], [joined.bytes_of(i, length) for i in take.tolist()]])
+        take = np.flatnonzero(shared.value.passes(places(joined.ids, joined.inside)))
+        yield record_batch(PIECES, [joined.ids.take(pa.array(take)), joined.inside[take], [joined.bytes_of(i, length) for i in take.tolist()]])
 
     return _over(docs, emit, PIECES, length, anchor)
 
@@ -213,14 +216,20 @@ def _counted_marks(rows: DataFrame, length: int) -> DataFrame:
     return windows.join(often, "window").select("leader", "hash", "a", (F.col("a") + 1).alias("b"))
 
 
+@F.arrow_udf(T.LongType())
+def _place(ids: pa.Array, first: pa.Array) -> pa.Array:
+    return pa.array(places(ids, first.to_numpy(zero_copy_only=False)))
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``doc_id, starts, ends``: runs of windows [start, end) that are repeated, for documents that have any."""
-    leads = cut_lineage(repeated_leaders(docs, length, anchor))
-    found = cut_lineage(segments(docs, sieve.build(leads, "leader"), length, anchor).join(leads, "leader", "left_semi"))
-    folded = cut_lineage(found.groupBy("leader", "hash").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("doc_id", "first", "place")).alias("at")))
+    every = cut_lineage(segments(docs, length, anchor))
+    leads = cut_lineage(every.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1").select("leader"))
+    found = cut_lineage(that_pass(every, "leader", sieve.build(leads, "leader")).join(leads, "leader", "left_semi"))
+    folded = cut_lineage(found.groupBy("leader", "hash").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.min(F.struct("doc_id", "first")).alias("at")))
     # leaders with several different segments need the suffix array
     per = folded.groupBy("leader").agg(F.count("*").alias("_kinds"), F.sum(F.col("n") + length - 1).alias("_bytes")).where("_kinds > 1")
-    several = cut_lineage(folded.join(per, "leader").select("leader", "hash", "_bytes", "at.doc_id", "at.first", "at.place"))
+    several = cut_lineage(folded.join(per, "leader").select("leader", "hash", "_bytes", "at.doc_id", "at.first", _place("at.doc_id", "at.first").alias("place")))
     pieces = texts_of(docs, sieve.build(several, "place"), length, anchor)
     same = F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.first") == F.col("p.first"))
     rows = several.alias("s").join(pieces.alias("p"), same).select("s.leader", "s.hash", "s._bytes", "p.data")
