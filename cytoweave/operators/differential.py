@@ -49,7 +49,8 @@ def rank_sum(counts: DataFrame, cells: DataFrame, genes: DataFrame, a: str, b: s
     ranked = running_sum(values, ["gene_id"], width_bucket("x", F.col("_lo"), F.col("_hi")), ["x"], both, "_cum")
     average = F.col("_cum") - (both - 1) / 2.0
     sums = ranked.groupBy("gene_id").agg(F.sum(average * F.col("a")).alias("_w")).withColumn("_n", size)
-    na, nb = F.col("_n.na"), F.col("_n.nb")
+    # as doubles: the product of three cell numbers is beyond 64 bits from about two million cells a group
+    na, nb = F.col("_n.na").cast("double"), F.col("_n.nb").cast("double")
     z = (F.col("_w") - na * (na + nb + 1) / 2.0) / F.sqrt(na * nb * (na + nb + 1) / 12.0)
     scored = sums.select("gene_id", F.col("_w").alias("rank_sum"), z.alias("score")).withColumn("p", normal_p("score"))
     return adjust_p(scored.withColumn("grp", F.lit(a)), ["grp"])

@@ -96,6 +96,18 @@ def test_rank_sum_equals_brute_force_with_ties_and_negatives(spark):
     assert got[3] == 12 * 13.0
 
 
+def test_rank_sum_of_groups_whose_product_is_beyond_64_bits(spark):
+    million = spark.range(5_200_000)
+    cells = million.select(F.col("id").alias("cell_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("cell_type"))
+    counts = spark.createDataFrame([(0, 1, 3.0), (2, 1, 5.0)], "cell_id bigint, gene_id bigint, x double")
+    genes = spark.createDataFrame([(1,)], "gene_id bigint")
+    got = differential.rank_sum(counts, cells, genes, "a", "b").first()
+    n, m = 2_600_000, 5_200_000
+    total = (n - 2) * (m - 2 + 1) / 2 + (m - 1) + m
+    assert got["rank_sum"] == total
+    assert got["score"] == pytest.approx((total - n * (m + 1) / 2) / (n * n * (m + 1) / 12) ** 0.5, rel=1e-9)
+
+
 def test_benjamini_hochberg(spark):
     df = spark.createDataFrame([(0, "g", 0.01), (1, "g", 0.04), (2, "g", 0.03), (3, "g", 0.5)], "gene_id bigint, grp string, p double")
     got = {r["gene_id"]: round(r["p_adj"], 9) for r in differential.adjust_p(df, ["grp"]).collect()}
