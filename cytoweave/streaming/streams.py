@@ -17,11 +17,12 @@ from ..operators.proto import nearest_prototype
 
 
 def parquet_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """Files of ``folder`` that match ``pattern`` as a stream with a fixed schema."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """What matches ``pattern`` in ``folder``, files or folders of part files, as a stream with a fixed schema."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    # braces make a plain name a pattern too: a stream reads a single file only through one
+    return reader.parquet(os.path.join(folder, f"{{{pattern}}}"))
 
 
 def score_stream(cells: DataFrame, protos: DataFrame, metric: str = "l2") -> DataFrame:

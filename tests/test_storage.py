@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytoweave.bundle import Bundle, validate, violations
+from cytoweave.plans import source_queries
 from cytoweave.sources import catalog, mtx, results
 from cytoweave.streaming import streams
 
@@ -46,6 +47,38 @@ def test_single_file_mtx_with_an_entry_like_the_size_line(spark, tmp_path):
     assert [r["barcode"] for r in b.cells.orderBy("cell_id").collect()] == ["AA", "BB", "CC"]
 
 
+def test_lines_are_numbered_by_part_name_not_by_listing(spark, tmp_path):
+    names = [f"part-{i:05d}.txt" for i in range(40)]
+    for name in reversed(names):
+        (tmp_path / name).write_text(f"{name} a\n{name} b\n")
+    got = [r["value"] for r in mtx._numbered_lines(spark, str(tmp_path)).orderBy("ordinal").collect()]
+    assert got == [f"{name} {x}" for name in names for x in "ab"]
+
+
+def test_read_mtx_with_key_gaps_and_equal_names(spark, tmp_path):
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    save("customer", [(5, "C"), (90, "C"), (7000, "D")], "c_custkey bigint, c_name string")
+    save("part", [(3, "p", "Brand#11"), (800, "p", "Brand#21")], "p_partkey bigint, p_name string, p_brand string")
+    save("orders", [(10, 5), (2000, 90), (30, 7000)], "o_orderkey bigint, o_custkey bigint")
+    save("lineitem", [(10, 3, 1.0), (2000, 3, 2.0), (30, 800, 4.0), (10, 800, 8.0)], "l_orderkey bigint, l_partkey bigint, l_quantity double")
+    got = {tuple(r) for r in source_queries.read_mtx(spark, str(tmp_path)).collect()}
+    assert got == {("C", "p_3", 3.0), ("C", "p_800", 8.0), ("D", "p_800", 4.0)}
+
+
+def test_a_stream_reads_a_file_and_a_folder_of_parts_alike(spark, tmp_path):
+    rows = spark.range(20).withColumnRenamed("id", "n")
+    rows.repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next(f for f in os.listdir(tmp_path / "one") if f.endswith(".parquet"))
+    os.rename(tmp_path / "one" / part, tmp_path / "file.parquet")
+    for name in ("parts", "file"):
+        out = str(tmp_path / f"out_{name}")
+        streams.append_to(streams.parquet_stream(spark, str(tmp_path), f"{name}.parquet", "n bigint"), out, str(tmp_path / f"ck_{name}")).awaitTermination()
+        assert sorted(r[0] for r in spark.read.schema("n bigint").parquet(out).collect()) == list(range(20))
+
+
 def test_cached_graph_builds_once(spark, tmp_path):
     calls = []
 
