@@ -7,7 +7,8 @@ import os
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
-from ..session import scratch_path
+from ..functions.ranks import quantile_buckets, running_sum
+from ..session import cut_lineage, scratch_path
 from ..sources import catalog, mtx, results
 from . import tables as t
 from .graph_queries import WITH_EMB, _OUT, knn
@@ -26,6 +27,12 @@ def read_annotated(spark, sf):
     return b.counts.join(b.cells, "cell_id").join(b.genes, "gene_id").groupBy("cell_type", "gene_name").agg(F.sum("x").alias("total"))
 
 
+def _positions(df, key, out):
+    """1-based positions in the order of ``key``, which may have gaps."""
+    cut = quantile_buckets(df.where(F.col(key).isNotNull()), key, "_q")
+    return running_sum(cut, [], F.col("_q"), [key], F.lit(1), out).withColumn(out, F.col(out).cast("bigint")).drop("_q")
+
+
 @query(
     "read_mtx",
     "A2",
@@ -33,15 +40,18 @@ def read_annotated(spark, sf):
         JOIN customer ON c_custkey = o_custkey JOIN genes USING (gene_id) GROUP BY 1, 2""",
 )
 def read_mtx(spark, sf):
-    """Customers as barcodes, parts as features."""
-    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("cell_id"), (F.col("o_custkey") + 1).alias("pos"))
-    counts = t.counts(spark, sf).join(orders, "cell_id").groupBy(F.col("pos").alias("cell_id"), (F.col("gene_id") + 1).alias("gene_id")).agg(F.sum("x").alias("x"))
-    cells = t.table(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("cell_id"), F.col("c_name").alias("barcode"))
-    genes = t.genes(spark, sf).withColumn("gene_id", F.col("gene_id") + 1)
+    """Customers as barcodes, parts as features; keys become list positions, and equal names are one row of the answer."""
+    customers = cut_lineage(_positions(t.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", "cell_id"))
+    parts = cut_lineage(_positions(t.genes(spark, sf).withColumnRenamed("gene_id", "p_partkey"), "p_partkey", "gene_id"))
+    orders = t.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    raw = t.counts(spark, sf).select(F.col("cell_id").alias("o_orderkey"), F.col("gene_id").alias("p_partkey"), "x").join(orders, "o_orderkey")
+    placed = raw.join(customers.select("c_custkey", "cell_id"), "c_custkey").join(parts.select("p_partkey", "gene_id"), "p_partkey")
+    counts = placed.groupBy("cell_id", "gene_id").agg(F.sum("x").alias("x"))
+    cells, genes = customers.select("cell_id", F.col("c_name").alias("barcode")), parts.select("gene_id", "gene_name", "mt")
     path = scratch_path(spark, "mtx")
     mtx.write_mtx(Bundle(cells, genes, counts), path)
     b = mtx.read_mtx(spark, path)
-    return b.counts.join(b.cells, "cell_id").join(b.genes, "gene_id").select("barcode", "gene_name", "x")
+    return b.counts.join(b.cells, "cell_id").join(b.genes, "gene_id").groupBy("barcode", "gene_name").agg(F.sum("x").alias("x"))
 
 
 def _long_runs(spark, sf):

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
+from ..functions.ranks import running_sum
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(ordinal, value)`` with 1-based line numbers in file order."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex()
-    return lines.map(lambda p: (p[1] + 1, p[0])).toDF("ordinal bigint, value string")
+    """``(ordinal, value)`` with 1-based line numbers, part files by name: a folder may list them in any order."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    lines = spark.read.text(path).select(place.alias("_place"), F.monotonically_increasing_id().alias("_at"), "value")
+    numbered = running_sum(lines, [], F.col("_place"), ["_at"], F.lit(1), "ordinal")
+    return numbered.select(F.col("ordinal").cast("bigint").alias("ordinal"), "value")
 
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
