@@ -113,3 +113,35 @@ def test_communities_find_two_cliques(spark):
     got = {r[0]: r[1] for r in members.collect()}
     assert len({got[i] for i in range(6)}) == 1 and len({got[i] for i in range(10, 16)}) == 1 and got[0] != got[10]
     assert graph.modularity(edges, members).first()["modularity"] > 0.4
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+def test_grid_equals_brute_force_where_nothing_is_pruned(vectors, metric, monkeypatch):
+    monkeypatch.setattr(neighbors, "MOST_VISITS", 2)
+    monkeypatch.setattr(neighbors, "QUERIES", 25)
+    m = np.random.default_rng(11).normal(0, 1, (230, 24))
+    m[:20] = m[20:40]
+    m[50] = 0.0
+    got = found(neighbors.knn_graph(vectors(m), 4, metric, pivots=8, rows_per_tile=16, fold_copies=False))
+    assert got == brute(m, 4, metric)
+
+
+def test_grid_of_probed_groups_equals_tiles(vectors, monkeypatch):
+    m = np.random.default_rng(12).normal(0, 1, (230, 24))
+    m[50] = 0.0
+    df = vectors(m)
+    probed = lambda: found(neighbors.knn_graph(df, 4, "cosine", nprobe=3, pivots=8, rows_per_tile=16))
+    tiles = probed()
+    monkeypatch.setattr(neighbors, "MOST_VISITS", 2)
+    assert probed() == tiles
+
+
+def test_a_row_of_a_large_table_is_copied_a_bounded_number_of_times(vectors, monkeypatch):
+    """Each row used to be copied once per tile of the other side."""
+    dealt = []
+    real = neighbors._grid
+    monkeypatch.setattr(neighbors, "MOST_VISITS", 4)
+    monkeypatch.setattr(neighbors, "_grid", lambda q, b, qn, bn, *rest: dealt.append((qn, bn)) or real(q, b, qn, bn, *rest))
+    m = np.random.default_rng(13).normal(0, 1, (1500, 16))
+    neighbors.knn_graph(vectors(m), 3, pivots=30, rows_per_tile=50).count()
+    assert dealt and all(sum(qn[1:] + bn[1:]) <= 2 * neighbors.SIDE for qn, bn in dealt)
