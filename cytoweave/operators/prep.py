@@ -147,20 +147,33 @@ def _global_fit(m: DataFrame) -> DataFrame:
 NEARLY_SINGULAR = 1e-9  # determinants below this share of their size leave the degree out
 
 
-def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float) -> np.ndarray:
+def _nearest_distance(x: np.ndarray, ends: np.ndarray, p: float, right: int, low: int, high: int, q: int) -> float:
+    """Distance of the ``q``-th nearest x, each as often as it counts."""
+    far = np.abs(x[low:high] - p)
+    order = np.argsort(far, kind="stable")
+    counts = np.diff(ends[low:high], prepend=ends[low - 1] if low else 0)
+    return float(far[order[np.searchsorted(np.cumsum(counts[order]), q)]])
+
+
+def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float, times: np.ndarray | None = None) -> np.ndarray:
     """Local regression of ``y`` on ``x`` (ascending) at the points ``at``.
 
     The bandwidth at a point is the distance of its ``ceil(span * n)``-th nearest x; weights are tricube, the fit is a
     quadratic around the point, a line where the x with weight are too few or too close for it, and their mean where
-    they do not even make a line.
+    they do not even make a line.  A point that stands for several counts ``times``.
     """
-    n = len(x)
+    counts = np.ones(len(x), dtype=np.int64) if times is None else times
+    ends = np.cumsum(counts)
+    n = int(ends[-1]) if len(x) else 0
     q = min(n, max(1, int(np.ceil(span * n - 1e-9))))
     out = np.empty(len(at))
     for i, p in enumerate(at):
         right = int(np.searchsorted(x, p))
-        low, high = max(0, right - q), min(n, right + q)
-        h = np.partition(np.abs(x[low:high] - p), q - 1)[q - 1]
+        before = int(ends[right - 1]) if right else 0
+        # the points that hold the q nearest on either side
+        low = int(np.searchsorted(ends, before - q, "right"))
+        high = min(len(x), int(np.searchsorted(ends, before + q)) + 1)
+        h = _nearest_distance(x, ends, p, right, low, high, q)
         # all within the bandwidth, however many share a distance
         low, high = (np.searchsorted(x, p - h, "left"), np.searchsorted(x, p + h, "right"))
         d = x[low:high] - p
@@ -169,7 +182,7 @@ def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float) -
             own, u = np.abs(d) == h, np.zeros((np.abs(d) == h).sum())
         else:
             u = d[own] / h
-        w, v = (1 - np.abs(u) ** 3) ** 3, y[low:high][own]
+        w, v = counts[low:high][own] * (1 - np.abs(u) ** 3) ** 3, y[low:high][own]
         s0, s1, s2, s3, s4 = (float((w * u**k).sum()) for k in range(5))
         t0, t1, t2 = (float((w * u**k * v).sum()) for k in range(3))
         det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
@@ -186,24 +199,29 @@ def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float) -
 def _local_fit(m: DataFrame, span: float) -> DataFrame:
     """``m`` with ``_v``, the variance that genes of a similar mean lead one to expect.
 
-    Two numbers per gene go to the tasks, counted first; each task fits its own genes.
+    Genes of one mean and variance are one point that counts as often, and every different mean is fitted once.
+    Three numbers per point go to the tasks, counted first; each task fits its own means.
     """
     fit = m.where((F.col("var") > 0) & (F.col("mean") > 0)).select(F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    fit = cut_lineage(fit.groupBy("x", "y").agg(F.count("*").alias("n")))
     n = fit.count()
-    if 2 * n > MAX_ELEMENTS:
+    if 3 * n > MAX_ELEMENTS:
         raise ValueError(f"{n} genes are beyond what a local fit sends to every task; select genes first")
-    points = np.array([(r["x"], r["y"]) for r in fit.collect()]).reshape(-1, 2)
-    points = points[np.argsort(points[:, 0], kind="stable")]
+    found = fit.toArrow()
+    x, y, times = (found.column(c).to_numpy() for c in ("x", "y", "n"))
+    order = np.lexsort((y, x))
+    x, y, times = x[order], y[order], times[order]
 
     def expected(column: pa.Array) -> pa.Array:
         mean = column.to_numpy(zero_copy_only=False)
         out = np.full(len(mean), np.nan)
-        known = (mean > 0) & bool(len(points))
-        out[known] = 10.0 ** local_quadratic(points[:, 0], points[:, 1], np.log10(mean[known]), span)
+        known = (mean > 0) & bool(len(x))
+        out[known] = 10.0 ** local_quadratic(x, y, np.log10(mean[known]), span, times)
         return pa.array(out, mask=~known)
 
-    spread = m.repartition(max(1, n // 1000), "gene_id")
-    return spread.select("gene_id", "mean", "var", F.arrow_udf(expected, T.DoubleType())("mean").alias("_v"))
+    means = m.select("mean").distinct().repartition(max(8, n // 250), "mean")
+    fitted = means.select(F.col("mean").alias("_m"), F.arrow_udf(expected, T.DoubleType())("mean").alias("_v"))
+    return m.join(cut_lineage(fitted), F.col("mean").eqNullSafe(F.col("_m"))).select("gene_id", "mean", "var", "_v")
 
 
 def stabilised_variance(counts: DataFrame, cells: DataFrame, span: float | None = 0.3) -> DataFrame:

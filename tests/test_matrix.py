@@ -154,3 +154,11 @@ def test_local_stabilised_variance_of_genes_that_never_vary(spark):
     counts = spark.createDataFrame([(i, 0, 2.0) for i in range(4)] + [(0, 1, 5.0), (1, 1, 1.0), (2, 2, 3.0)], "cell_id bigint, gene_id bigint, x double")
     found = {r["gene_id"]: r["var_norm"] for r in prep.stabilised_variance(counts, spark.range(4).withColumnRenamed("id", "cell_id")).collect()}
     assert found[0] == 0.0 and found[1] > 0 and found[2] > 0
+
+
+def test_equal_genes_are_fitted_once_and_count_as_often():
+    rng = np.random.default_rng(4)
+    x, times = np.sort(rng.normal(size=60)), rng.integers(1, 9, 60)
+    y = x * x + rng.normal(size=60)
+    folded = prep.local_quadratic(x, y, x, 0.3, times)
+    assert np.allclose(folded, prep.local_quadratic(np.repeat(x, times), np.repeat(y, times), x, 0.3))
