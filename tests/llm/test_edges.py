@@ -154,3 +154,11 @@ def test_stages_decide(spark, small, edges):
     assert not {2, 3, 7} & set(ids(corpus_pipeline.known_language(spark, edges, small)))
     assert ids(corpus_pipeline.distinct_lines(spark, edges, small)) == [1, 2, 3, 4, 4, 5, 6, 7, None]
     assert ids(corpus_pipeline.one_of_near_duplicates(spark, edges, small)) == [1, 2, 4, 4, 5, 6, None]
+
+
+def test_pipeline_drops_what_only_fingerprints_link(spark, small):
+    phrase = "the very same words again " * 60
+    tails = ["alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"]
+    rows = [(i, phrase + t) for i, t in enumerate(tails)] + [(2, "something else altogether, told at some length")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_near_duplicates(spark, docs, small).collect()) == [0, 2]
