@@ -145,3 +145,14 @@ def test_a_row_of_a_large_table_is_copied_a_bounded_number_of_times(vectors, mon
     m = np.random.default_rng(13).normal(0, 1, (1500, 16))
     neighbors.knn_graph(vectors(m), 3, pivots=30, rows_per_tile=50).count()
     assert dealt and all(sum(qn[1:] + bn[1:]) <= 2 * neighbors.SIDE for qn, bn in dealt)
+
+
+def test_tiles_sent_to_many_others_are_never_broadcast(vectors):
+    """Sizes are estimated before tiles are sent out: a broadcast took all copies to the driver."""
+    from cytoweave.operators import tiles
+
+    df = vectors(np.random.default_rng(14).normal(0, 1, (300, 4)))
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    packed = tiles.pack(df, [], 32)
+    for joined in (neighbors.knn_graph(df, 3, pivots=4, rows_per_tile=64), tiles.pair_within(packed, packed, [], [])):
+        assert "SortMergeJoin" in plan(joined) and "BroadcastHashJoin" not in plan(joined)
