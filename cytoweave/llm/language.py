@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ MIN_COUNT = 2
 MAX_LANGUAGES = 1000
 # evidence of a long text counts as that of so many average words
 FULL_WORDS = 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 WORDS = re.compile(r"[^\W\d_]+")
 COUNTS = "lang string, n int, gram string, count bigint"
 
@@ -44,6 +45,33 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Places:
+    """Where each of many different strings stands: hashes in order and the strings as one Arrow column, no object for each.
+
+    Every worker holds a model; as a dictionary it took most of a worker's memory.
+    """
+
+    def __init__(self, names: list[str]):
+        self.seed = 0
+        while len(np.unique(hashes := self._hashes(names))) < len(names):
+            self.seed += 1
+        order = np.argsort(hashes)
+        self.hashes, self.row = hashes[order], order.astype(np.int32)
+        self.names = pa.array(names, pa.large_string())
+
+    def _hashes(self, names: list[str]) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(n, self.seed) for n in names], dtype=np.uint64)
+
+    def find(self, names: list[str]) -> list[int]:
+        """The place of every name, -1 for one that is not held."""
+        if not len(self.hashes):
+            return [-1] * len(names)
+        hashes = self._hashes(names)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        rows = np.where(self.hashes[at] == hashes, self.row[at], -1).tolist()
+        return [row if row >= 0 and self.names[row].as_py() == name else -1 for row, name in zip(rows, names)]
+
+
 class Model:
     """Log frequencies: ``tables[0]`` of words, ``tables[n]`` of n-grams; one value per language."""
 
@@ -51,18 +79,19 @@ class Model:
         self.langs, self.max_n = langs, max_n
         self.tables = [self._logs(counts.get(n, {})) for n in range(max_n + 1)]
 
-    def _logs(self, counts: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+    def _logs(self, counts: dict[str, np.ndarray]) -> tuple[Places, np.ndarray]:
         rows = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), len(self.langs))
         logs = np.log((rows + 0.5) / (rows.sum(axis=0) + 0.5 * max(len(rows), 1)))
-        return {g: i for i, g in enumerate(counts)}, logs.astype(np.float32)
+        return Places(list(counts)), logs.astype(np.float32)
 
-    def score_word(self, word: str) -> np.ndarray:
+    def score_words(self, words: list[str]) -> list[np.ndarray]:
         index, logs = self.tables[0]
-        if word in index:
-            return logs[index[word]]
+        return [logs[at] if at >= 0 else self._by_grams(word) for word, at in zip(words, index.find(words))]
+
+    def _by_grams(self, word: str) -> np.ndarray:
         for n in range(self.max_n, 0, -1):
             index, logs = self.tables[n]
-            known = [index[g] for g in grams_of(word, n) if g in index]
+            known = [at for at in index.find(grams_of(word, n)) if at >= 0]
             if known:
                 return logs[known].mean(axis=0)
         return np.zeros(len(self.langs), dtype=np.float32)
@@ -81,10 +110,9 @@ class Predictor:
         self.matrix = np.zeros((0, len(self.model.langs)), dtype=np.float32)
         self.filled = 0
 
-    def _row(self, word: str) -> int:
-        at = self.index[word] = len(self.rows)
-        self.rows.append(self.model.score_word(word))
-        return at
+    def _learn(self, words: list[str]) -> None:
+        self.index.update(zip(words, range(len(self.rows), len(self.rows) + len(words))))
+        self.rows += self.model.score_words(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.langs:
@@ -94,8 +122,9 @@ class Predictor:
             return "und", 0.0
         if len(self.index) > self.cache_words:
             self._clear()
-        get = self.index.get
-        ids = [i if (i := get(w)) is not None else self._row(w) for w in counts]
+        if new := [w for w in counts if w not in self.index]:
+            self._learn(new)
+        ids = [self.index[w] for w in counts]
         if len(self.rows) > len(self.matrix):  # grown by doubling, so copies stay few
             more = np.zeros((max(2 * len(self.rows), 1024), len(self.model.langs)), dtype=np.float32)
             more[: len(self.rows)] = self.rows
