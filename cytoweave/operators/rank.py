@@ -43,10 +43,12 @@ def order_groups(df: DataFrame, key: str, value: str, out: str = "position") ->
 
 
 def leaderboard(wide: DataFrame, sort_by: str, metrics: Sequence[str], baseline: Column) -> DataFrame:
-    """Sort descending and flag every cell above the best baseline row."""
-    base = wide.where(baseline)
-    best = base.agg(F.min_by(F.struct(*metrics), F.struct(F.negative(sort_by), "model"))).scalar()
-    flagged = wide.withColumn("_best", best)
+    """Sort descending and flag every cell above the best baseline row.
+
+    The best row is found in the same evaluation as the rows: means summed once more in another order would lie above themselves.
+    """
+    order = F.when(baseline, F.struct(F.negative(sort_by), "model"))
+    flagged = wide.withColumn("_best", F.min_by(F.struct(*metrics), order).over(Window.partitionBy()))
     return (
         flagged.withColumns({f"{m}_above": F.col(m) > F.col("_best")[m] for m in metrics})
         .drop("_best")
