@@ -156,3 +156,26 @@ def test_tiles_sent_to_many_others_are_never_broadcast(vectors):
     packed = tiles.pack(df, [], 32)
     for joined in (neighbors.knn_graph(df, 3, pivots=4, rows_per_tile=64), tiles.pair_within(packed, packed, [], [])):
         assert "SortMergeJoin" in plan(joined) and "BroadcastHashJoin" not in plan(joined)
+
+
+def test_community_modularity_searches_neighbours_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cytoweave.plans import graph_queries
+
+    rows, search = spark.sparkContext.accumulator(0), graph_queries.knn
+
+    def counted(*args, **kw):
+        def run(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        found = search(*args, **kw)
+        return found.mapInArrow(run, found.schema)
+
+    monkeypatch.setattr(graph_queries, "knn", counted)
+    monkeypatch.setattr(graph_queries.graph, "communities", lambda nodes, edges: nodes.select("cell_id", (F.col("cell_id") % 3).alias("community")))
+    sf = "/root/testdata/sf0.001"
+    assert graph_queries.community_modularity(spark, sf).count() == 1
+    assert rows.value == graph_queries.K * spark.read.parquet(f"{sf}/embeddings.parquet").count()
