@@ -125,7 +125,7 @@ def communities(spark, sf):
 
 @query("community_modularity", "H8")
 def community_modularity(spark, sf):
-    # read by the rounds and twice by the score: the search is done once
+    # read by the rounds and by the score: the search is done once
     edges = cut_lineage(_weighted(spark, sf))
     return rounded(graph.modularity(edges, graph.communities(t.emb_cells(spark, sf), edges)))
 

@@ -175,7 +175,7 @@ def test_community_modularity_searches_neighbours_once(spark, monkeypatch):
         return found.mapInArrow(run, found.schema)
 
     monkeypatch.setattr(graph_queries, "knn", counted)
-    monkeypatch.setattr(graph_queries.graph, "communities", lambda nodes, edges: nodes.select("cell_id", (F.col("cell_id") % 3).alias("community")))
+    monkeypatch.setattr(graph_queries.graph, "communities", lambda nodes, edges: nodes.select("cell_id", F.lit(edges.count() % 2).alias("community")))
     sf = "/root/testdata/sf0.001"
     assert graph_queries.community_modularity(spark, sf).count() == 1
     assert rows.value == graph_queries.K * spark.read.parquet(f"{sf}/embeddings.parquet").count()
